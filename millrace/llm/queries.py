@@ -4,18 +4,36 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import line_rules, minhash, packing, sentence_dedup, toxicity
+from . import cross_polytope, hilbert, line_rules, minhash, packing, sentence_dedup, sentencepiece, toxicity, warc, weak_labels
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_weak_label_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weak_labels.quality(table(spark, sf_dir, "documents"))
+
+
+def op2_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_polytope.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sentencepiece.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return out.select("doc_id", "ids", "n_ids", F.crc32(F.encode("decoded", "UTF-8")).alias("decoded_crc32"))
+
+
+def op5_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hilbert.shard_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentence_dedup.substring_dedup(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_removed")
 
@@ -28,11 +46,27 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, percent=85)
 
 
+def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op3_best_fit_packing, op6_substring_dedup, op7_line_frequency_rules, op8_minhash_near_dedup, op10_toxicity)}
+_ALL = (
+    op1_weak_label_quality,
+    op2_cross_polytope,
+    op3_best_fit_packing,
+    op4_sentencepiece,
+    op5_hilbert_shards,
+    op6_substring_dedup,
+    op7_line_frequency_rules,
+    op8_minhash_near_dedup,
+    op9_warc_round_trip,
+    op10_toxicity,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 #: Words as in the contract; A-Z alone goes to lower case.
 _WORDS = r"regexp_extract_all(coalesce({0}, ''), '[^\x20\x09-\x0D]+')"
@@ -64,4 +98,19 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.a, links
 SELECT r.a AS doc_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_shingles, min(r.b) AS component_id, r.a = min(r.b) AS kept FROM reach r LEFT JOIN n ON n.doc_id = r.a GROUP BY r.a
 """
 
-ORACLE_SQL = {"op7_line_frequency_rules": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL}
+OP2_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+u AS (SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM v WHERE len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM u x JOIN u y ON x.vec_id <> y.vec_id AND len(x.e) = len(y.e) WHERE x.norm > 0 AND y.norm > 0 AND list_dot_product(x.e, y.e) / x.norm / y.norm >= 0.95),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT r.a AS vec_id, CAST(coalesce(any_value(n.n), 0) AS BIGINT) AS n_links, min(r.b) AS component_id, r.a = min(r.b) AS kept FROM reach r LEFT JOIN n ON n.a = r.a GROUP BY r.a
+"""
+
+OP9_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT *, array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(h, 1 + 5 * (k // 4), 5) AS BIGINT) >> (15 - 5 * (k % 4))) & 31 AS INTEGER), 1)), '') AS digest, min(page_id) OVER (PARTITION BY h) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest, CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM d
+"""
+
+ORACLE_SQL = {"op2_cross_polytope": OP2_SQL, "op7_line_frequency_rules": OP7_SQL, "op8_minhash_near_dedup": OP8_SQL, "op9_warc_round_trip": OP9_SQL}
