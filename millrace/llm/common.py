@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -100,3 +102,22 @@ def ranked(df: DataFrame, key: str, order: list[str], rank: str = "rank", per_bu
     before = counts.select(key, "_b", (F.sum("_n").over(Window.partitionBy(key).orderBy("_b")) - F.col("_n")).alias("_before"))
     place = F.row_number().over(Window.partitionBy(key, "_b").orderBy(*order)) - 1
     return dealt.withColumn("_place", place).join(before, [key, "_b"]).withColumn(rank, F.col("_before") + F.col("_place")).drop("_b", "_before", "_place")
+
+
+def runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """(key, rows) for each run of rows with equal whole-number keys, over the ends of batches too."""
+    held: list[pa.RecordBatch] = []
+    held_key = None
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys = np.stack([batch[k].to_numpy() for k in key], axis=1)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
+        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+            now = tuple(keys[start].tolist())
+            if held and now != held_key:
+                yield held_key, pa.Table.from_batches(held)
+                held = []
+            held, held_key = [*held, batch.slice(start, end - start)], now
+    if held:
+        yield held_key, pa.Table.from_batches(held)

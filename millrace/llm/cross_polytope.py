@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, runs
 from .components import connected
 
 #: 8 tables of 2 hashes with 3 probes miss about 2 in a million pairs at a cosine of 0.95 in 64 dimensions.
@@ -82,7 +82,7 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def matrix(column: pa.Array, kind: str) -> np.ndarray:
+def matrix(column: pa.ChunkedArray, kind: str) -> np.ndarray:
     """A binary column of equally long vectors as a matrix."""
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
@@ -194,31 +194,10 @@ def near_vectors(table: DataFrame, least: float = LEAST, tables: int = TABLES, h
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = Block(least, tables, hashes, probes)
         for (_, t, bucket, *_), rows in runs(batches, key):
-            found = blocks.links(int(t), int(bucket), *(rows[k] for k in ("vec_id", "weight", "own", "side")), unit_rows(rows["vec"]))
+            found = blocks.links(t, bucket, *(rows[k].to_numpy() for k in ("vec_id", "weight", "own", "side")), unit_rows(matrix(rows["vec"], kind)))
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["vec_id", "links", "other"])
 
-    def runs(batches: Iterator[pa.RecordBatch], key: list[str]):
-        """Rows of each key in turn; a key's rows follow each other, over batches too."""
-        held, held_key = [], None
-        for batch in batches:
-            if not len(batch):
-                continue
-            keys = np.stack([batch[k].to_numpy() for k in key], axis=1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1), len(keys)]
-            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
-                now = tuple(keys[start])
-                if held and now != held_key:
-                    yield held_key, joined(held)
-                    held = []
-                held, held_key = [*held, batch.slice(start, end - start)], now
-        if held:
-            yield held_key, joined(held)
-
-    def joined(parts: list[pa.RecordBatch]) -> dict[str, np.ndarray]:
-        out = {k: np.concatenate([p[k].to_numpy(zero_copy_only=False) for p in parts]) for k in ("vec_id", "weight", "own", "side")}
-        return out | {"vec": np.concatenate([matrix(p["vec"], kind) for p in parts])}
-
     found = scratch.save(dealt.mapInArrow(linked, "vec_id long, links long, other long"), "links")
     counts = found.groupBy("vec_id").agg(F.sum("links").alias("links")).withColumnRenamed("vec_id", "rep")
     own = members.join(classes, ["h1", "h2"]).select("vec_id", "rep", (F.col("weight") - 1).alias("copies"))
