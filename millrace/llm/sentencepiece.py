@@ -279,9 +279,8 @@ class Encoder:
             while i > b:
                 i = back[i]
                 cuts[i] = True
-            if b + n <= total:
-                best[b + n] = -np.inf
-        return cuts[:total]
+            cuts[b + n] = True
+        return cuts
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids: pieces joined, bytes put together, the space before the text dropped."""
