@@ -7,14 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import line_rules, minhash, packing, sentence_dedup, toxicity
-from millrace.llm.common import Scratch
+from millrace.llm.common import Scratch, fresh, named
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model, fitted on the labels of these documents, doesn't call toxic."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     weights = toxicity.fit(docs, labels, f"not ({toxicity.held_out()})")
-    return toxicity.score(docs, weights, names=("_score", "_predicted")).where("_predicted = 0").select(docs.columns)
+    names = (fresh(docs.columns, "_score"), fresh(docs.columns, "_predicted"))
+    return toxicity.score(docs, weights, names=names).where(F.col(names[1]) == 0).select(*named(docs.columns))
 
 
 def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,9 +25,10 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity of 0.8 or more, the least doc_id."""
-    kept = minhash.near_duplicates(docs, shingle=5, percent=80).where("kept and doc_id is not null").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").withColumn("_hash", F.xxhash64("text")).dropDuplicates(["doc_id", "_hash"])
-    return named.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    at, digest = fresh(docs.columns, "_id"), fresh(docs.columns, "_hash")
+    kept = minhash.near_duplicates(docs, shingle=5, percent=80).where("kept and doc_id is not null").select(F.col("doc_id").alias(at)).distinct()
+    rows = docs.join(kept, F.col("doc_id") == F.col(at), "left_semi").withColumn(digest, F.xxhash64("text")).dropDuplicates(["doc_id", digest])
+    return rows.select(*named(docs.columns)).unionByName(docs.where("doc_id is null"))
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

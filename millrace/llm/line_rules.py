@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, words_of
+from .common import Scratch, WordHashes, fresh, mapped, named, words_of
 
 #: A line is boilerplate in more distinct texts of a host than this and than this share of the host's distinct texts.
 LEAST_TEXTS = 20
@@ -115,20 +115,20 @@ def judged(docs: DataFrame, host: str = "source", scratch: Scratch | None = None
 
 def cleaned(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     """The kept rows of `docs` without their boilerplate lines, in the columns of `docs`; n_chars, if there, follows."""
-    types = docs.schema
-    names = docs.columns
-    v = verdicts.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("removed_lines").alias("_gone")).dropDuplicates(["_id", "_hash"])
-    both = docs.withColumn("_own", F.xxhash64("text")).join(v, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash"))).select(*names, "_gone")
+    types, names = docs.schema, docs.columns
+    own, at, digest, gone = (fresh(names, n) for n in ("_own", "_id", "_hash", "_gone"))
+    v = verdicts.where("kept").select(F.col("doc_id").alias(at), F.col("text_hash").alias(digest), F.col("removed_lines").alias(gone)).dropDuplicates([at, digest])
+    both = docs.withColumn(own, F.xxhash64("text")).join(v, F.col("doc_id").cast("long").eqNullSafe(F.col(at)) & (F.col(own) == F.col(digest))).select(*named(names), gone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [without(t, g) for t, g in zip(batch["text"].to_pylist(), batch["_gone"].to_pylist(), strict=True)]
+            texts = [without(t, g) for t, g in zip(batch["text"].to_pylist(), batch[gone].to_pylist(), strict=True)]
             new = {"text": pa.array(texts, pa.string())}
             if "n_chars" in names:
-                new["n_chars"] = pa.array([n if g is None or t is None else len(t) for t, g, n in zip(texts, batch["_gone"].to_pylist(), batch["n_chars"].to_pylist(), strict=True)], batch["n_chars"].type)
+                new["n_chars"] = pa.array([n if g is None or t is None else len(t) for t, g, n in zip(texts, batch[gone].to_pylist(), batch["n_chars"].to_pylist(), strict=True)], batch["n_chars"].type)
             yield pa.RecordBatch.from_arrays([new.get(c, batch[c]) for c in names], names=names)
 
-    return both.mapInArrow(run, types)
+    return mapped(both, run, types)
 
 
 def without(text: str | None, gone: list[int] | None) -> str | None:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import GOLDEN, MIX_1, U64, WordHashes
+from .common import GOLDEN, MIX_1, U64, WordHashes, mapped, named
 
 BITS = 18
 FIT_ROWS = 30_000
@@ -154,7 +154,7 @@ def score(docs: DataFrame, weights: Weights, threshold: float = THRESHOLD, names
     """
     keep = [c for c in docs.columns if c not in names]
     sent = docs.sparkSession.sparkContext.broadcast(weights)
-    docs = docs.select(*keep)
+    docs = docs.select(*named(keep))
     schema = T.StructType([*docs.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +165,7 @@ def score(docs: DataFrame, weights: Weights, threshold: float = THRESHOLD, names
             p = 1 / (1 + np.exp(-np.clip(logits, -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, schema)
+    return mapped(docs, run, schema)
 
 
 def held_out(column: str = "doc_id") -> str:
