@@ -9,9 +9,10 @@ Plan, for a table of any size:
 2. Rows of a bucket (a band's hash) are never paired with each other: each is paired with the bucket's least doc_id,
    which gives at most `bands` candidates a document. Candidates are confirmed on the full sets.
 3. A star can miss a link between two members that are both unlike the centre. So each bucket in which a candidate
-   failed and whose members are still in several components is searched in full: its members are cut into blocks, and
-   pairs from different components whose signatures come near the threshold are confirmed as well. No partner is
-   dropped, and inside a component nothing is compared again.
+   failed and whose members are still in several components is searched in full: its members are cut into blocks that
+   go to different tasks with their texts, and pairs from different components whose signatures come near the threshold
+   are compared there. A block gives a link only where it joins two components, so no pairs leave it. No partner is
+   dropped.
 4. Components of the confirmed links.
 """
 
@@ -20,12 +21,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, U64, Scratch, WordHashes, mix, shingle_hashes, words_of
+from .common import GOLDEN, U64, Scratch, WordHashes, mix, runs, shingle_hashes, words_of
 from .components import connected
 
 BANDS, ROWS = 28, 5
@@ -115,32 +115,54 @@ def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, per_s
     return dealt.mapInArrow(run, "c long, d long, linked boolean")
 
 
-def near_pairs(percent: int, slack: float = 0.15, least: int = 100):
-    """Pairs of a block of two runs of rows from different components that may reach the threshold.
+class Blocks:
+    """Links between different components inside one block of a bucket, or between two blocks of it.
 
-    Sets too unlike in size can't (exact). Otherwise the signatures' agreement must come within `slack` of the
-    threshold, five deviations of its estimate for 140 bins; sets of under `least` shingles are not judged by it.
+    A pair whose sets are too unlike in size can't link (exact). Nor does one whose signatures agree by `slack` less
+    than the threshold: four deviations of the estimate from 140 bins; sets of under `least` shingles are not judged by
+    it. All others are compared in full, unless links found in the block already join them.
     """
 
-    def run(block: pd.DataFrame) -> pd.DataFrame:
-        a, b = block[block.side == 0], block[block.side == 1]
-        same = len(b) == 0
-        b = a if same else b
-        n, m = a.n_shingles.to_numpy(), b.n_shingles.to_numpy()
-        sig = [np.frombuffer(b"".join(x.sig), np.uint8).reshape(len(x), -1) for x in (a, b)]
-        ia, ib, ca, cb = a.doc_id.to_numpy(), b.doc_id.to_numpy(), a.component.to_numpy(), b.component.to_numpy()
-        out = []
-        for i in range(len(a)):
-            ok = (cb != ca[i]) & (100 * np.minimum(m, n[i]) >= percent * np.maximum(m, n[i]))
-            if same:
-                ok &= np.arange(len(b)) > i
-            near = (sig[1][ok] == sig[0][i]).mean(axis=1) >= percent / 100 - slack if ok.any() else np.array([], bool)
-            out.append((i, np.flatnonzero(ok)[near | (np.minimum(m[ok], n[i]) < least)]))
-        left = np.concatenate([np.full(len(j), ia[i]) for i, j in out] or [[]]).astype(np.int64)
-        right = np.concatenate([ib[j] for _, j in out] or [[]]).astype(np.int64)
-        return pd.DataFrame({"c": np.minimum(left, right), "d": np.maximum(left, right)})
-
-    return run
+    def __init__(self, shingle: int, percent: int, slack: float = 0.12, least: int = 100):
+        self.hasher, self.percent, self.slack, self.least = Hasher(shingle), percent, slack, least
+
+    def links(self, rows: pa.Table) -> list[tuple[int, int]]:
+        ids, side = rows["doc_id"].to_pylist(), rows["side"].to_numpy()
+        component, n = rows["component"].to_numpy(), rows["n_shingles"].to_numpy()
+        sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(len(ids), -1)
+        texts = rows["text"].to_pylist()
+        sets: dict[int, np.ndarray] = {}
+        root = {int(c): int(c) for c in component}
+
+        def find(x: int) -> int:
+            while root[x] != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        def shingles(i: int) -> np.ndarray:
+            if i not in sets:
+                sets[i] = self.hasher.shingles(texts[i])
+            return sets[i]
+
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1)
+        within = not len(right)
+        found = []
+        for k, a in enumerate(left):
+            others = left[k + 1 :] if within else right
+            low, high = np.minimum(n[others], n[a]), np.maximum(n[others], n[a])
+            others = others[(component[others] != component[a]) & (100 * low >= self.percent * high)]
+            if len(others):
+                near = (sig[others] == sig[a]).mean(axis=1) >= self.percent / 100 - self.slack
+                others = others[near | (np.minimum(n[others], n[a]) < self.least)]
+            for b in others:
+                x, y = find(int(component[a])), find(int(component[b]))
+                if x != y:
+                    both = len(np.intersect1d(shingles(a), shingles(b), assume_unique=True))
+                    if both and 100 * both >= self.percent * (len(shingles(a)) + len(shingles(b)) - both):
+                        root[max(x, y)] = min(x, y)
+                        found.append((ids[a], ids[b]))
+        return found
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, block: int = 512, scratch: Scratch | None = None) -> DataFrame:
@@ -172,16 +194,24 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
 
     mixed = stars.where("n > 2").join(checked.where("not linked").select("c", "d"), ["c", "d"], "left_semi").select("key").distinct()
     members = stars.join(mixed, "key", "left_semi").join(labels.withColumnRenamed("node", "d"), "d", "left").select("key", "d", F.coalesce("component", "d").alias("component"))
-    several = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n")).where("a <> b").select("key", F.ceil(F.col("n") / block).cast("int").alias("of"))
+    # bands often make the same bucket again: one of those with the same members is enough
+    several = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n"), F.expr("sum(d % 1000003 * 31 + pmod(xxhash64(d), 1000000007))").alias("h")).where("a <> b")
+    several = several.groupBy("n", "h", "a", "b").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / block).cast("int").alias("of"))
     placed = members.join(several, "key").withColumn("at", F.expr("pmod(xxhash64(d), of)")).withColumn("other", F.explode(F.expr("sequence(0, of - 1)")))
-    dealt = placed.select("key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), F.when(F.col("at") > F.col("other"), 1).otherwise(0).alias("side"), "d", "component")
-    dealt = dealt.join(reps.select(F.col("doc_id").alias("d"), "n_shingles", "sig").dropDuplicates(["d"]), "d").withColumnRenamed("d", "doc_id")
-    rest = scratch.save(dealt.groupBy("key", "i", "j").applyInPandas(near_pairs(percent), "c long, d long").distinct().join(checked.select("c", "d"), ["c", "d"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = scratch.save(confirm(rest, _one_text(texts), shingle, percent), "more")
-        steps = more.where("linked").select(F.col("c").alias("u"), F.col("d").alias("v"))
+    dealt = placed.select("key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), F.when(F.col("at") > F.col("other"), 1).otherwise(0).alias("side"), F.col("d").alias("doc_id"), "component")
+    full = dealt.join(reps.select("doc_id", "n_shingles", "sig").dropDuplicates(["doc_id"]), "doc_id").join(_one_text(texts), "doc_id")
+    full = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "doc_id")
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks = Blocks(shingle, percent)
+        for _, rows in runs(batches, ["key", "i", "j"]):
+            if found := blocks.links(rows):
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["u", "v"])
+
+    more = scratch.save(full.mapInArrow(searched, "u long, v long"), "more")
+    if not more.isEmpty():
         tree = labels.where("node <> component").select(F.col("component").alias("u"), F.col("node").alias("v"))
-        labels = connected(steps.unionByName(tree), scratch, "cd")
+        labels = connected(more.unionByName(tree), scratch, "cd")
 
     out = sigs.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
