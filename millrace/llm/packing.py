@@ -10,7 +10,9 @@ lengths, not with the number of documents, so it is broadcast.
 from __future__ import annotations
 
 import heapq
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -83,32 +85,54 @@ def tokenizer_text(path: str) -> str:
     return Path(path).read_text(encoding="utf-8")
 
 
-class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes, by a word-level `tokenizers` model.
+class Encoder(dict):
+    """Ids of chunks as little-endian unsigned 32-bit bytes, by a word-level `tokenizers` model.
 
-    The model's own pre-tokenizer never joins what a space or a line feed separates, so each such chunk is encoded
-    alone and kept: the ids of a text are those of its chunks in a row. Forgets all when full.
+    The model's own pre-tokenizer never joins what a space or a line feed separates, nor a letter and a mark after it, and
+    it lowers case, so each such part is encoded alone and kept: the ids of a text are those of its chunks in a row.
+    Full, it keeps what came first, which holds the frequent ones.
     """
 
-    limit = 400_000
+    limit = 1_000_000
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
 
-        self.model, self.known = Tokenizer.from_str(model), {"": b""}
+        super().__init__()
+        self.model = Tokenizer.from_str(model)
+        self[""] = b""
+
+    def __missing__(self, chunk: str) -> bytes:
+        if len(chunk) > 1 and chunk[-1] in MARKS and chunk[-2] < LATIN_END and chunk[-2].lower()[-1].isalpha():
+            out = self[chunk[:-1]] + self[chunk[-1]]
+        elif chunk.isascii() and (lower := chunk.lower()) != chunk and "<|" not in chunk:
+            out = self[lower]
+        else:
+            out = array("I", self.model.encode(chunk, add_special_tokens=False).ids).tobytes()
+            if sys.byteorder == "big":
+                out = np.frombuffer(out, ">u4").astype("<u4").tobytes()
+        if len(self) < self.limit and len(chunk) < 64:
+            self[chunk] = out
+        return out
 
     def ids(self, text: str | None) -> bytes:
-        chunks = (text or "").replace("\n", " ").split(" ")
-        known = self.known
-        new = [c for c in dict.fromkeys(chunks) if c not in known]
-        if new:
-            if len(known) > self.limit:
-                known.clear()
-                known[""] = b""
-                new = list(dict.fromkeys(c for c in chunks if c))
-            for c in new:
-                known[c] = np.array(self.model.encode(c, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join([known[c] for c in chunks])
+        return b"".join(map(self.__getitem__, (text or "").replace("\n", " ").split(" ")))
+
+
+#: What may follow a letter as a part of its own.
+MARKS = frozenset(".,;:!?")
+#: Letters up to here are letters in every version of Unicode.
+LATIN_END = "\u0250"
+_encoders: dict[int, Encoder] = {}
+
+
+def encoder_of(model: str) -> Encoder:
+    """The process's encoder for a model: tasks that share a Python worker share what it has seen."""
+    key = zlib.crc32(model.encode())
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(model)
+    return _encoders[key]
 
 
 def pieces(docs: DataFrame, model: str, capacity: int = CAPACITY, ids: bool = False) -> DataFrame:
@@ -117,7 +141,7 @@ def pieces(docs: DataFrame, model: str, capacity: int = CAPACITY, ids: bool = Fa
     end = END_ID.to_bytes(4, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(sent.value)
+        encoder = encoder_of(sent.value)
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
