@@ -84,20 +84,33 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """64-bit hash of each word seen; forgets all when full, so memory stays bounded."""
+    """64-bit hash of each word seen. Full, it keeps what came first, which holds the frequent ones; memory stays bounded."""
 
-    limit = 400_000
+    limit = 600_000
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        h = self.hash_of(word)
+        if len(self) < self.limit and len(word) < 64:
+            self[word] = h
         return h
 
+    def hash_of(self, word: bytes) -> int:
+        return xxhash.xxh64_intdigest(word)
+
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), U64, len(words))
 
 
+_shared: dict = {}
+
+
+def shared(kind: type) -> WordHashes:
+    """The process's table of a kind: tasks that share a Python worker share what it has seen."""
+    if kind not in _shared:
+        _shared[kind] = kind()
+    return _shared[kind]
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words `[^\\x20\\x09-\\x0D]+` in UTF-8; none for a null. bytes.split() cuts at just these six characters."""
     return text.encode("utf-8", "replace").split() if text else []

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, fresh, mapped, named, words_of
+from .common import Scratch, WordHashes, fresh, mapped, named, shared, words_of
 
 #: A line is boilerplate in more distinct texts of a host than this and than this share of the host's distinct texts.
 LEAST_TEXTS = 20
@@ -72,7 +72,7 @@ def measured(docs: DataFrame, host: str, text: str = "text") -> DataFrame:
     types = pa.schema([("doc_id", pa.int64()), ("host", pa.string()), ("text_hash", pa.int64()), *((c, pa.int64()) for c in STATS), ("lines", pa.list_(pa.int64())), ("line_words", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
+        words = shared(WordHashes)
         for batch in batches:
             found = [measure(t, words) for t in batch["text"].to_pylist()]
             stats = [pa.array([f[0][i] for f in found], pa.int64()) for i in range(len(STATS))]

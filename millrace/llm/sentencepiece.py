@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import heapq
 import re
+import zlib
 from collections.abc import Iterator
 from pathlib import Path
 from typing import NamedTuple
@@ -104,7 +105,7 @@ def ranges(codes: np.ndarray, order: np.ndarray, pieces: np.ndarray) -> tuple[np
 class Encoder:
     """Ids of texts under a Model."""
 
-    limit = 400_000
+    limit = 1_000_000
 
     def __init__(self, model: Model):
         self.model = model
@@ -157,7 +158,7 @@ class Encoder:
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [self.chunks(t) if t else [] for t in texts]
         known = self.known
-        if len(known) > self.limit:
+        if len(known) > self.limit:  # frequent chunks come back soon
             known.clear()
         known.update(self.alone)
         new = list({c for chunks in cut for c in chunks if c not in known})
@@ -288,6 +289,18 @@ class Encoder:
         return text.removeprefix(" ")
 
 
+_encoders: dict[int, Encoder] = {}
+
+
+def encoder_of(model: Model) -> Encoder:
+    """The process's encoder for a model: tasks that share a Python worker share what it has seen."""
+    key = zlib.crc32("\n".join(model.pieces).encode())
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(model)
+    return _encoders[key]
+
+
 def encoded(docs: DataFrame, path: str, text: str = "text", batch_chars: int = 4_000_000) -> DataFrame:
     """(doc_id, ids, n_ids, decoded) for every row: ids of the whole text, and the text decoded from them again.
 
@@ -298,7 +311,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", batch_chars: int = 4
     sent = docs.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(sent.value)
+        encoder = encoder_of(sent.value)
         held: list[tuple] = []
         size = 0
         for batch in batches:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import GOLDEN, MIX_1, U64, WordHashes, mapped, named
+from .common import GOLDEN, MIX_1, U64, WordHashes, mapped, named, shared
 
 BITS = 18
 FIT_ROWS = 30_000
@@ -45,11 +45,8 @@ class Weights(NamedTuple):
 class BareHashes(WordHashes):
     """Hash of each word without the ASCII marks around it."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(EDGES.sub(b"", word))
-        return h
+    def hash_of(self, word: bytes) -> int:
+        return xxhash.xxh64_intdigest(EDGES.sub(b"", word))
 
 
 class Features:
@@ -59,7 +56,7 @@ class Features:
     """
 
     def __init__(self, bits: int = BITS):
-        self.shift, self.words = U64(64 - bits), BareHashes()
+        self.shift, self.words = U64(64 - bits), shared(BareHashes)
 
     def all(self, text: str | None) -> np.ndarray:
         """Every occurrence's coordinate."""

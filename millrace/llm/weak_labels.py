@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, MIX_1, U64, WordHashes
+from .common import GOLDEN, MIX_1, U64, WordHashes, shared
 from .toxicity import Ftrl, Weights
 
 BITS = 18
@@ -134,21 +134,18 @@ SHAPES = tuple((re.compile(p), r) for p, r in ((rb"[A-Z]+", b"X"), (rb"[a-z\x80-
 class ShapeHashes(WordHashes):
     """Hash of a word's shape: runs of capitals, other letters and digits become one sign each."""
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
+    def hash_of(self, word: bytes) -> int:
         shape = word
         for p, r in SHAPES:
             shape = p.sub(r, shape)
-        self[word] = h = xxhash.xxh64_intdigest(shape[:12], seed=7)
-        return h
+        return xxhash.xxh64_intdigest(shape[:12], seed=7)
 
 
 class Features:
     """Hashed coordinates: words, word shapes, pairs of shapes, and each statistic's step; each once."""
 
     def __init__(self, bits: int = BITS):
-        self.shift, self.words, self.shapes = U64(64 - bits), WordHashes(), ShapeHashes()
+        self.shift, self.words, self.shapes = U64(64 - bits), shared(WordHashes), shared(ShapeHashes)
 
     def of(self, text: str | None) -> tuple[np.ndarray, list[int]]:
         """(coordinates, votes)."""
