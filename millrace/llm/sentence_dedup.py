@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import GOLDEN, U64, Scratch, mix
+from .common import GOLDEN, U64, Scratch, fresh, mapped, mix, named
 
 SPAN = 3
 #: A sentence ends after [.!?] before white space, at a line's end, or after so many words.
@@ -26,7 +26,7 @@ LONGEST = 16
 #: Runs with fewer words are chance repeats of short sentences.
 LEAST_WORDS = 12
 END = re.compile(r"[.!?]+(?=[ \t\n\r\f\v])[ \t\r\f\v]*\n*|\n+")
-CUT = re.compile(r"(?:[ \t\r\f\v]*[^ \t\n\r\f\v]+){%d}[ \t\r\f\v]*" % LONGEST)
+CUT = re.compile(r"(?:[ \t\r\f\v]*+[^ \t\n\r\f\v]++){%d}[ \t\r\f\v]*+" % LONGEST)
 
 
 def sentences(text: str | None) -> list[str]:
@@ -115,8 +115,8 @@ def repeats(docs: DataFrame, scratch: Scratch, span: int, least: int) -> DataFra
             arrays = [pa.array(hashes, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int32())), pa.array(inside, pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], *arrays], names=["doc_id", "text_hash", "hashes", "starts", "inside"])
 
-    named = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    table = scratch.save(named.mapInArrow(run, "doc_id long, text_hash long, hashes array<long>, starts array<int>, inside array<int>"), "runs")
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
+    table = scratch.save(rows.mapInArrow(run, "doc_id long, text_hash long, hashes array<long>, starts array<int>, inside array<int>"), "runs")
     spans = table.where("doc_id is not null").select("doc_id", "text_hash", F.explode(F.arrays_zip("hashes", "starts")).alias("r")).select("doc_id", "text_hash", F.col("r.hashes").alias("h"), F.col("r.starts").alias("start"))
     first = spans.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("h", "first")
     later = spans.join(first, "h").where("doc_id > first").select("doc_id", "text_hash", "start")
@@ -134,21 +134,22 @@ def substring_dedup(docs: DataFrame, span: int = SPAN, least: int = LEAST_WORDS,
     """
     scratch = scratch or Scratch(docs.sparkSession, "sentences")
     names = [c for c in docs.columns if not (counts and c == "n_removed")]
-    docs = docs.select(*names)
-    again = repeats(docs, scratch, span, least).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("starts").alias("_starts"))
-    both = docs.join(again, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")), "left")
+    docs = docs.select(*named(names))
+    at, digest, starts = (fresh(names, n) for n in ("_id", "_hash", "_starts"))
+    again = repeats(docs, scratch, span, least).select(F.col("doc_id").alias(at), F.col("text_hash").alias(digest), F.col("starts").alias(starts))
+    both = docs.join(again, F.col("doc_id").cast("long").eqNullSafe(F.col(at)) & (F.xxhash64("text") == F.col(digest)), "left")
     schema = T.StructType([*docs.schema.fields, *([T.StructField("n_removed", T.LongType())] if counts else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [strip(t, s, span) for t, s in zip(batch["text"].to_pylist(), batch["_starts"].to_pylist(), strict=True)]
+            out = [strip(t, s, span) for t, s in zip(batch["text"].to_pylist(), batch[starts].to_pylist(), strict=True)]
             new = {"text": pa.array([x[0] for x in out], pa.string())}
             if "n_chars" in names:
                 new["n_chars"] = pa.array([len(x[0]) if x[1] else n for x, n in zip(out, batch["n_chars"].to_pylist(), strict=True)], batch["n_chars"].type)
             arrays = [*(new.get(c, batch[c]) for c in names), *([pa.array([x[1] for x in out], pa.int64())] if counts else [])]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return both.select(*names, "_starts").mapInArrow(run, schema)
+    return mapped(both.select(*named(names), starts), run, schema)
 
 
 def brute_force(rows: list[tuple[int, str | None]], span: int = SPAN, least: int = LEAST_WORDS) -> dict[int, str | None]:
