@@ -25,11 +25,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, U64, Scratch, WordHashes, mix, runs, shingle_hashes, words_of
+from .common import GOLDEN, U64, Scratch, WordHashes, mix, runs, shared, shingle_hashes, words_of
 from .components import connected
 
 BANDS, ROWS = 28, 5
-SIGNATURE = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, sig binary"
+SIGNATURE = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"
 
 
 class Hasher:
@@ -38,7 +38,7 @@ class Hasher:
     def __init__(self, shingle: int, bands: int = BANDS, rows: int = ROWS):
         self.shingle, self.bands, self.rows, self.bins = shingle, bands, rows, bands * rows
         self.edges = np.array([(i << 64) // self.bins for i in range(1, self.bins)], U64)
-        self.words = WordHashes()
+        self.words = shared(WordHashes)
         bins = np.arange(self.bins, dtype=U64)
         self.salt = mix((bins + U64(1)) * GOLDEN)
         self.band_salt = mix((np.arange(bands, dtype=U64) + U64(977)) * GOLDEN)
@@ -48,6 +48,9 @@ class Hasher:
         return np.unique(shingle_hashes(self.words.of([w.lower() for w in words_of(text)]), self.shingle))
 
     def signature(self, shingles: np.ndarray) -> np.ndarray:
+        """The bins' least hashes; zeros for an empty set."""
+        if not len(shingles):
+            return np.zeros(self.bins, U64)
         at = np.concatenate(([0], np.searchsorted(shingles, self.edges)))
         full = at < np.concatenate((at[1:], [len(shingles)]))
         out = np.zeros(self.bins, U64)
@@ -65,19 +68,19 @@ class Hasher:
     def row(self, doc_id: int | None, text: str | None) -> tuple:
         s = self.shingles(text)
         if not len(s):
-            return doc_id, 0, 0, 0, [], b""
+            return doc_id, 0, 0, 0, []
         values = self.signature(s)
         keys = np.zeros(self.bands, U64) + self.band_salt
         for i in range(self.rows):
             keys = mix(keys * GOLDEN + values[i :: self.rows])
         fp = np.array([s.sum(dtype=U64), mix(s).sum(dtype=U64)], U64).view(np.int64)
-        return doc_id, len(s), int(fp[0]), int(fp[1]), keys.view(np.int64), (mix(values) & U64(255)).astype(np.uint8).tobytes()
+        return doc_id, len(s), int(fp[0]), int(fp[1]), keys.view(np.int64)
 
 
 def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(shingle, bands, rows)
-        types = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())])
+        types = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("bands", pa.list_(pa.int64()))])
         for batch in batches:
             out = [hasher.row(i, t) for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types.types, strict=True)] if out else [pa.array([], t) for t in types.types], schema=types)
@@ -127,11 +130,10 @@ class Blocks:
         self.hasher, self.percent, self.slack, self.least = Hasher(shingle), percent, slack, least
 
     def links(self, rows: pa.Table) -> list[tuple[int, int]]:
-        ids, side = rows["doc_id"].to_pylist(), rows["side"].to_numpy()
-        component, n = rows["component"].to_numpy(), rows["n_shingles"].to_numpy()
-        sig = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(len(ids), -1)
-        texts = rows["text"].to_pylist()
-        sets: dict[int, np.ndarray] = {}
+        ids, side, component = rows["doc_id"].to_pylist(), rows["side"].to_numpy(), rows["component"].to_numpy()
+        sets = [self.hasher.shingles(t) for t in rows["text"].to_pylist()]
+        n = np.array([len(x) for x in sets])
+        sig = np.stack([(mix(self.hasher.signature(x)) & U64(255)).astype(np.uint8) for x in sets])
         root = {int(c): int(c) for c in component}
 
         def find(x: int) -> int:
@@ -139,11 +141,6 @@ class Blocks:
                 root[x] = x = root[root[x]]
             return x
 
-        def shingles(i: int) -> np.ndarray:
-            if i not in sets:
-                sets[i] = self.hasher.shingles(texts[i])
-            return sets[i]
-
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1)
         within = not len(right)
@@ -158,8 +155,8 @@ class Blocks:
             for b in others:
                 x, y = find(int(component[a])), find(int(component[b]))
                 if x != y:
-                    both = len(np.intersect1d(shingles(a), shingles(b), assume_unique=True))
-                    if both and 100 * both >= self.percent * (len(shingles(a)) + len(shingles(b)) - both):
+                    both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                    if both and 100 * both >= self.percent * (n[a] + n[b] - both):
                         root[max(x, y)] = min(x, y)
                         found.append((ids[a], ids[b]))
         return found
@@ -199,7 +196,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     several = several.groupBy("n", "h", "a", "b").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / block).cast("int").alias("of"))
     placed = members.join(several, "key").withColumn("at", F.expr("pmod(xxhash64(d), of)")).withColumn("other", F.explode(F.expr("sequence(0, of - 1)")))
     dealt = placed.select("key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), F.when(F.col("at") > F.col("other"), 1).otherwise(0).alias("side"), F.col("d").alias("doc_id"), "component")
-    full = dealt.join(reps.select("doc_id", "n_shingles", "sig").dropDuplicates(["doc_id"]), "doc_id").join(_one_text(texts), "doc_id")
+    full = dealt.join(_one_text(texts), "doc_id")
     full = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "doc_id")
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
