@@ -104,6 +104,31 @@ def rewrite(sql: str) -> str:
     return re.sub(r"\bgenerate_series\s*\(([^(),]+),([^(),]+)\)", r"range(\1, (\2) + 1)", out, flags=re.I)
 
 
+def has_age(sql: str) -> bool:
+    return re.search(r"\bage\s*\(", sql, flags=re.I) is not None
+
+
+def rewrite_age(sql: str, of_ids: bool, txid: int) -> str:
+    """age(a[, b]) as the function over transaction ids, or the one over timestamps.
+
+    With one argument from the current id, or from midnight UTC of today. Texts in quotes are left alone.
+    """
+    first = f"{int(txid)}L" if of_ids else "CAST(date_trunc('DAY', current_timestamp()) AS TIMESTAMP_NTZ)"
+    out, at = [], 0
+    for m in re.finditer(r"'(?:[^']|'')*'|\bage\s*\(", sql, flags=re.I):
+        if m.group().startswith("'") or m.start() < at:
+            continue
+        depth, commas, end = 1, 0, m.end()
+        while end < len(sql) and depth:
+            depth += (sql[end] == "(") - (sql[end] == ")")
+            commas += sql[end] == "," and depth == 1
+            end += 1
+        arguments = rewrite_age(sql[m.end() : end - 1], of_ids, txid)
+        out += [sql[at : m.start()], "age_xid(" if of_ids else "age_ts(", "" if commas else f"{first}, ", arguments, ")"]
+        at = end
+    return "".join(out) + sql[at:]
+
+
 #: The columns of the lock view.
 LOCK_COLUMNS = "locktype STRING, database BIGINT, relation BIGINT, page INT, tuple SMALLINT, virtualxid STRING, transactionid BIGINT, classid BIGINT, objid BIGINT, objsubid SMALLINT, virtualtransaction STRING, pid INT, mode STRING, granted BOOLEAN, fastpath BOOLEAN, waitstart TIMESTAMP"
 

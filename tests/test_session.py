@@ -129,6 +129,15 @@ def test_random_changes_match_a_dict(session):
     assert {r.id: r.v for r in s("SELECT * FROM r").collect()} == model
 
 
+def test_age_by_type(session):
+    s = session.sql
+    assert s("SELECT pg_catalog.age(10, 3) AS d").first()[0] == 7
+    text = "SELECT CAST(age(TIMESTAMP_NTZ'2024-03-31 01:00:00', TIMESTAMP_NTZ'2024-02-28 02:00:00') AS STRING) AS d, 'age(1)' AS t"
+    assert tuple(s(text).first()) == ("1 months 2 days 23 hours", "age(1)")
+    assert s("SELECT age(NULL, TIMESTAMP_NTZ'2024-02-28') IS NULL AS n, age(current_timestamp()::timestamp_ntz) IS NOT NULL AS d").first()[0]
+    assert s("SELECT txid_current() - age(0) AS z").first()[0] == 0
+
+
 def test_explain_and_admission(session):
     s = session.sql
     rows = s("EXPLAIN (DIST) SELECT id % 3 AS k, count(*) FROM range(100) GROUP BY 1 ORDER BY 2 DESC LIMIT 2").collect()
