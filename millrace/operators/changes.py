@@ -40,10 +40,10 @@ def w2_insert_select(t):
     return base(t).unionByName(constraints.completed(new, FACTS))
 
 
-@q("SELECT o_orderkey + (SELECT max(o_orderkey) FROM orders) AS order_id, o_custkey AS customer_id, 'new' AS status, CAST(0 AS BIGINT) AS total_cents FROM orders WHERE o_orderkey % 7 = 0")
+@q("SELECT o_orderkey + (SELECT max(o_orderkey) FROM orders) AS order_id, o_custkey AS customer_id, 'new' AS status, CAST(0 AS BIGINT) AS total_cents FROM orders")
 def w4_bulk_insert(t):
     top = t("orders").agg(F.max("o_orderkey").alias("top"))
-    rows = t("orders").where("o_orderkey % 7 = 0").crossJoin(F.broadcast(top)).selectExpr("o_orderkey + top AS order_id", "o_custkey AS customer_id")
+    rows = t("orders").crossJoin(F.broadcast(top)).selectExpr("o_orderkey + top AS order_id", "o_custkey AS customer_id")
     return constraints.completed(rows, FACTS)
 
 
@@ -57,9 +57,9 @@ def w5_keys_in_base(t):
     return t("customer").select("c_custkey").join(t("orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
 
 
-@q(f"WITH b AS ({BASE}), n AS (SELECT o_orderkey + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 20000000 END AS order_id, o_custkey AS customer_id, 'up' AS status, CAST(1 AS BIGINT) AS total_cents FROM orders WHERE o_orderkey % 50 < 2) SELECT * FROM b WHERE order_id NOT IN (SELECT order_id FROM n) UNION ALL SELECT * FROM n")
+@q(f"WITH b AS ({BASE}), n AS (SELECT o_orderkey + CASE WHEN o_orderpriority = '1-URGENT' THEN 20000000 ELSE 0 END AS order_id, o_custkey AS customer_id, 'up' AS status, CAST(1 AS BIGINT) AS total_cents FROM orders WHERE o_orderstatus = 'P') SELECT * FROM b WHERE order_id NOT IN (SELECT order_id FROM n) UNION ALL SELECT * FROM n")
 def w6_upsert(t):
-    new = t("orders").where("o_orderkey % 50 < 2").selectExpr("o_orderkey + CASE WHEN o_orderkey % 2 = 0 THEN 0 ELSE 20000000 END AS order_id", "o_custkey AS customer_id", "'up' AS status", "CAST(1 AS BIGINT) AS total_cents")
+    new = t("orders").where("o_orderstatus = 'P'").selectExpr("o_orderkey + CASE WHEN o_orderpriority = '1-URGENT' THEN 20000000 ELSE 0 END AS order_id", "o_custkey AS customer_id", "'up' AS status", "CAST(1 AS BIGINT) AS total_cents")
     return dml.upsert_rows(base(t), new, "order_id")
 
 
@@ -83,11 +83,11 @@ def w11_delete_pk_range(t):
     return base(t).where(~dml.within("order_id", Bounds(50, 400)))
 
 
-@q("SELECT count(*) AS conflicts FROM orders WHERE o_orderkey % 10 = 0 AND o_orderkey % 3 <> 0")
+@q("SELECT count(*) AS conflicts FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 3 <> 0")
 def w15_conditional_write_conflicts(t):
     """Rows whose stored version (key mod 3) is not the one the writer expects (0)."""
     held = t("orders").selectExpr("o_orderkey AS k", "o_orderkey % 3 AS version")
-    wanted = t("orders").where("o_orderkey % 10 = 0").selectExpr("o_orderkey AS k", "0 AS expected")
+    wanted = t("orders").where("o_orderstatus = 'P'").selectExpr("o_orderkey AS k", "0 AS expected")
     return wanted.join(held, "k", "left").where(~F.col("version").eqNullSafe(F.col("expected"))).agg(F.count("*").alias("conflicts"))
 
 
@@ -99,9 +99,9 @@ def w16_coercion(t):
 FACTS_BYTE = Column("b", "int8").kind
 
 
-@q(f"SELECT * FROM ({BASE}) b WHERE order_id NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 9 = 0)")
+@q(f"SELECT * FROM ({BASE}) b WHERE order_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '5%')")
 def w19_tombstones(t):
-    return base(t).join(t("orders").where("o_custkey % 9 = 0").selectExpr("o_orderkey AS order_id"), "order_id", "left_anti")
+    return base(t).join(t("orders").where("o_orderpriority LIKE '5%'").selectExpr("o_orderkey AS order_id"), "order_id", "left_anti")
 
 
 @q(f"SELECT order_id, customer_id, status, total_cents FROM ({BASE}) b")
@@ -165,7 +165,7 @@ def k4_latest_wins(t):
     return versions(t).groupBy("k").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
 
 
-@q(f"SELECT count(*) = 0 AS applied FROM (SELECT k, max(seq) AS seq FROM ({VERSIONS}) v GROUP BY k) h WHERE k < 20 AND seq > 900")
+@q(f"SELECT count(*) = 0 AS applied FROM (SELECT k, max(seq) AS seq FROM ({VERSIONS}) v GROUP BY k) h WHERE seq > 900")
 def k5_conditional_apply(t):
-    held = versions(t).where("k < 20").groupBy("k").agg(F.max("seq").alias("seq"))
+    held = versions(t).groupBy("k").agg(F.max("seq").alias("seq"))
     return held.where("seq > 900").agg((F.count("*") == 0).alias("applied"))

@@ -88,9 +88,9 @@ def fn_json(t):
     return t("events").select("event_id", F.get_json_object("props", "$.k").alias("k"))
 
 
-@q("SELECT n_nationkey, n_name AS v FROM nation WHERE n_nationkey < 5")
+@q("SELECT n_nationkey, n_name AS v FROM nation")
 def fn_map(t):
-    one = t("nation").where("n_nationkey < 5").select("n_nationkey", F.create_map(F.lit("name"), "n_name").alias("m"))
+    one = t("nation").select("n_nationkey", F.create_map(F.lit("name"), "n_name").alias("m"))
     return one.select("n_nationkey", F.element_at("m", "name").alias("v"))
 
 

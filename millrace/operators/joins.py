@@ -28,9 +28,9 @@ def j3_join_then_aggregate(t):
     return t("supplier").join(t("lineitem"), F.expr("s_suppkey = l_suppkey")).groupBy("s_suppkey").agg(F.count("l_orderkey").alias("lines"))
 
 
-@q("SELECT o_orderkey, l_linenumber, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_custkey < 30")
+@q("SELECT o_orderkey, l_linenumber, l_quantity FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P'")
 def j4_shuffled_join(t):
-    return t("orders").where("o_custkey < 30").join(t("lineitem").hint("merge"), F.expr("o_orderkey = l_orderkey")).select("o_orderkey", "l_linenumber", "l_quantity")
+    return t("orders").where("o_orderstatus = 'P'").join(t("lineitem").hint("merge"), F.expr("o_orderkey = l_orderkey")).select("o_orderkey", "l_linenumber", "l_quantity")
 
 
 @q("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_orderstatus = 'P'")
@@ -38,9 +38,9 @@ def j5_left(t):
     return t("customer").join(t("orders"), F.expr("c_custkey = o_custkey AND o_orderstatus = 'P'"), "left").select("c_custkey", "o_orderkey")
 
 
-@q("SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_custkey < 50) c RIGHT JOIN orders ON c_custkey = o_custkey")
+@q("SELECT c_custkey, o_orderkey FROM (SELECT * FROM customer WHERE c_acctbal > 5000) c RIGHT JOIN orders ON c_custkey = o_custkey")
 def j5_right(t):
-    return t("customer").where("c_custkey < 50").join(t("orders"), F.expr("c_custkey = o_custkey"), "right").select("c_custkey", "o_orderkey")
+    return t("customer").where("c_acctbal > 5000").join(t("orders"), F.expr("c_custkey = o_custkey"), "right").select("c_custkey", "o_orderkey")
 
 
 @q("SELECT a.k AS a, b.k AS b FROM (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F') a FULL JOIN (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'O') b ON a.k = b.k")
@@ -79,10 +79,10 @@ def j9_asof(t):
     return rows.withColumn("last_purchase", F.last(F.expr("CASE WHEN event_type = 'purchase' THEN event_id END"), ignorenulls=True).over(w)).where("event_type = 'error'").select("event_id", "last_purchase")
 
 
-@q("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey FROM orders WHERE o_custkey < 40")
+@q("SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey FROM orders WHERE o_totalprice > 300000")
 def u1_union_all(t):
     o = t("orders")
-    return o.where("o_orderstatus = 'F'").select("o_orderkey").unionByName(o.where("o_custkey < 40").select("o_orderkey"))
+    return o.where("o_orderstatus = 'F'").select("o_orderkey").unionByName(o.where("o_totalprice > 300000").select("o_orderkey"))
 
 
 @q("SELECT o_custkey AS k FROM orders UNION SELECT c_custkey FROM customer")
