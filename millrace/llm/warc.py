@@ -189,6 +189,8 @@ def write(pages: DataFrame, folder: str, scratch: Scratch, payload: str = "html"
                 records += 1
         if out is not None:
             out.close()
+            if system.get_file_info(f"{path}/{name}").is_file:  # an earlier attempt's; some file systems don't move over it
+                system.delete_file(f"{path}/{name}")
             system.move(f"{path}/{hidden}", f"{path}/{name}")
             yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([records], pa.int64())], names=["file", "records"])
 
