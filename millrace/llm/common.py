@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,23 @@ def scratch_root(spark: SparkSession) -> str:
     return root or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
+def importable(spark: SparkSession) -> None:
+    """Lets the tasks' Python import this package from where the driver has it, wherever that was started.
+
+    On a cluster without that path the package comes with --py-files, which the workers look up as well.
+    """
+    root = str(Path(__file__).resolve().parents[2])
+    environment = spark.sparkContext.environment
+    have = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in have:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *have])
+
+
 class Scratch:
     """Tables that cut lineage, written to the shared folder and dropped when the application ends."""
 
     def __init__(self, spark: SparkSession, name: str):
+        importable(spark)
         self.spark = spark
         self.base = f"{scratch_root(spark).rstrip('/')}/millrace-{name}-{uuid.uuid4().hex}"
         path = spark._jvm.org.apache.hadoop.fs.Path(self.base)

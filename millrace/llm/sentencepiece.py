@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import importable
+
 SPACE = "▁"
 ALONE = ("\n", "\0")
 BREAKS = re.compile("([\n\0])")
@@ -308,6 +310,7 @@ def encoded(docs: DataFrame, path: str, text: str = "text", batch_chars: int = 4
     Repeated rows are encoded each; a null doc_id stays null. Extra columns are ignored; an empty table gives an empty
     result. `path`: a model file with byte fallback and no normalisation but the space before the text.
     """
+    importable(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

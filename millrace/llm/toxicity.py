@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import GOLDEN, MIX_1, U64, WordHashes, mapped, named, shared
+from .common import GOLDEN, MIX_1, U64, WordHashes, importable, mapped, named, shared
 
 BITS = 18
 FIT_ROWS = 30_000
@@ -116,6 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, where: str = "true", bits: int = BIT
     in the order of a hash of doc_id, then text, so the result doesn't depend on the partitioning. Labels are first cut
     to the sample, so only the sample's texts are shuffled.
     """
+    importable(docs.sparkSession)
     order = F.xxhash64("doc_id")
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where("label in (0, 1) and doc_id is not null").where(where)
     sample = given.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(order, "doc_id").limit(rows)
@@ -149,6 +150,7 @@ def score(docs: DataFrame, weights: Weights, threshold: float = THRESHOLD, names
 
     A null or empty text scores by the bias alone. Every other column passes through.
     """
+    importable(docs.sparkSession)
     keep = [c for c in docs.columns if c not in names]
     sent = docs.sparkSession.sparkContext.broadcast(weights)
     docs = docs.select(*named(keep))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, MIX_1, U64, WordHashes, shared
+from .common import GOLDEN, MIX_1, U64, WordHashes, importable, shared
 from .toxicity import Ftrl, Weights
 
 BITS = 18
@@ -163,6 +163,7 @@ class Features:
 
 def label_model(docs: DataFrame) -> tuple[LabelModel, dict[int, float]]:
     """The model from every text, and the posterior of each pattern."""
+    importable(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
