@@ -157,6 +157,28 @@ def ranked(df: DataFrame, key: str, order: list[str], rank: str = "rank", per_bu
     return dealt.withColumn("_place", place).join(before, [key, "_b"]).withColumn(rank, F.col("_before") + F.col("_place")).drop("_b", "_before", "_place")
 
 
+def array_runs(batches: Iterator[pa.RecordBatch], key: list[str], arrays: Callable[[pa.RecordBatch], dict[str, np.ndarray]]) -> Iterator[tuple[tuple, dict[str, np.ndarray]]]:
+    """As runs(), for very many short runs: `arrays` turns a whole batch at once, and a run is a slice of its arrays."""
+    held: dict[str, np.ndarray] | None = None
+    held_key: tuple = ()
+    for batch in batches:
+        if not len(batch):
+            continue
+        keys, found = np.stack([batch[k].to_numpy() for k in key], axis=1), arrays(batch)
+        cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+        names = keys[cuts[:-1]].tolist()
+        for start, end, name in zip(cuts[:-1], cuts[1:], names, strict=True):
+            part = {k: v[start:end] for k, v in found.items()}
+            if held is not None:
+                if tuple(name) == held_key:
+                    held = {k: np.concatenate([held[k], part[k]]) for k in part}
+                    continue
+                yield held_key, held
+            held, held_key = part, tuple(name)
+    if held is not None:
+        yield held_key, held
+
+
 def runs(batches: Iterator[pa.RecordBatch], key: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
     """(key, rows) for each run of rows with equal whole-number keys, over the ends of batches too."""
     held: list[pa.RecordBatch] = []

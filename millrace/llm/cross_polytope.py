@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, runs
+from .common import Scratch, array_runs
 from .components import connected
 
 #: 8 tables of 2 hashes with 3 probes miss about 2 in a million pairs at a cosine of 0.95 in 64 dimensions.
@@ -82,9 +82,15 @@ def unit_rows(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def matrix(column: pa.ChunkedArray, kind: str) -> np.ndarray:
-    """A binary column of equally long vectors as a matrix."""
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
+def units(vectors: list[bytes], kind: str) -> np.ndarray:
+    """An array of unit vectors, each of its own width, from vectors in bytes; made at once for those alike in width."""
+    sizes = np.array([len(v) for v in vectors])
+    out = np.empty(len(vectors), object)
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size).tolist()
+        for i, row in zip(at, unit_rows(np.frombuffer(b"".join([vectors[i] for i in at]), kind).reshape(len(at), -1)), strict=True):
+            out[i] = row
+    return out
 
 
 def first_seen(a: np.ndarray, b: np.ndarray, table: int, bucket: int) -> np.ndarray:
@@ -119,15 +125,15 @@ class Block:
 
     def links(self, table: int, bucket: int, ids: np.ndarray, weights: np.ndarray, own: np.ndarray, side: np.ndarray, unit: np.ndarray):
         """(ids, links, other) of the rows that have links found first here."""
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1)
-        within = not len(right)
-        right = left if within else right
-        near = unit[left] @ unit[right].T >= self.least
-        if within:
-            near = np.triu(near, 1)
-        a, b = np.nonzero(near)
-        a, b = left[a], right[b]
+        split = int(np.searchsorted(side, 1))  # rows come in order of side
+        if split == len(side):
+            near = unit @ unit.T >= self.least
+            if np.count_nonzero(near) == np.count_nonzero(near.diagonal()):
+                return None
+            a, b = np.nonzero(np.triu(near, 1))
+        else:
+            a, b = np.nonzero(unit[:split] @ unit[split:].T >= self.least)
+            b = b + split
         ok = (own[a] | own[b]) & (ids[a] != ids[b])
         a, b = a[ok], b[ok]
         if not len(a):
@@ -191,10 +197,14 @@ def near_vectors(table: DataFrame, least: float = LEAST, tables: int = TABLES, h
     dealt = dealt.select("dim", "t", "bucket", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), F.when(F.col("at") > F.col("other"), 1).otherwise(0).alias("side"), "vec_id", "weight", "own", "vec")
     dealt = dealt.repartition(*key).sortWithinPartitions(*key, "side", "vec_id")
 
+    def arrays(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        out = {k: batch[k].to_numpy(zero_copy_only=False) for k in ("vec_id", "weight", "own", "side")}
+        return out | {"unit": units(batch["vec"].to_pylist(), kind)}
+
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = Block(least, tables, hashes, probes)
-        for (_, t, bucket, *_), rows in runs(batches, key):
-            found = blocks.links(t, bucket, *(rows[k].to_numpy() for k in ("vec_id", "weight", "own", "side")), unit_rows(matrix(rows["vec"], kind)))
+        for (_, t, bucket, *_), rows in array_runs(batches, key, arrays):
+            found = blocks.links(t, bucket, *(rows[k] for k in ("vec_id", "weight", "own", "side")), np.stack(rows["unit"])) if len(rows["side"]) > 1 else None
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["vec_id", "links", "other"])
 
