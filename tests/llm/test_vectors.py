@@ -23,7 +23,7 @@ def test_against_all_pairs(spark):
 
 def test_odd_vectors(spark):
     a = [1.0, 0.0, 0.0]
-    rows = [(1, a), (2, [2.0, 0.0, 0.0]), (2, [2.0, 0.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0, 0.0]), (6, [1.0, None, 0.0]), (7, [float("nan"), 1.0, 0.0]), (8, [float("inf"), 1.0, 0.0]), (9, [1.0, 0.0]), (None, a), (10, a), (11, [-1.0, 0.0, 0.0]), (12, [1e-300, 0.0, 0.0])]
+    rows = [(1, a), (2, [2.0, 0.0, 0.0]), (2, [2.0, 0.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0, 0.0]), (6, [1.0, None, 0.0]), (7, [float("nan"), 1.0, 0.0]), (8, [float("inf"), 1.0, 0.0]), (9, [1.0, 0.0]), (None, a), (10, a), (11, [-1.0, 0.0, 0.0]), (12, [1e-300, 0.0, 0.0]), (13, [0.5] * 9), (14, [0.7] * 9)]
     table = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<DOUBLE>").selectExpr("*", "1 AS label", "2 AS links", "3 AS component")
     out = cross_polytope.near_vectors(table).collect()
     assert len(out) == len(rows)
@@ -31,5 +31,6 @@ def test_odd_vectors(spark):
     assert got[1] == (3, 1, True) and got[2] == (3, 1, False) and got[10] == (3, 1, False) and got[12] == (3, 1, False)
     for i in (3, 4, 5, 6, 7, 8, 9, 11):
         assert got[i] == (0, i, True)
+    assert got[13] == got[14][:1] + (13, True) and got[14] == (1, 13, False), "widths don't mix"
     assert got[None] == (0, None, True)
     assert cross_polytope.near_vectors(table.limit(0)).count() == 0
