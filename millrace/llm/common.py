@@ -100,7 +100,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hash of each word seen. Full, it keeps what came first, which holds the frequent ones; memory stays bounded."""
 
-    limit = 600_000
+    limit = 400_000
 
     def __missing__(self, word: bytes) -> int:
         h = self.hash_of(word)
@@ -119,8 +119,10 @@ _shared: dict = {}
 
 
 def shared(kind: type) -> WordHashes:
-    """The process's table of a kind: tasks that share a Python worker share what it has seen."""
+    """The process's table of a kind: tasks that share a Python worker share what it has seen. Two kinds at most stay."""
     if kind not in _shared:
+        if len(_shared) > 1:
+            _shared.clear()
         _shared[kind] = kind()
     return _shared[kind]
 

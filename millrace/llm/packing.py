@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ranked
+from .common import Scratch, _shared, ranked
 
 CAPACITY = 4096
 END_ID = 1
@@ -93,7 +93,7 @@ class Encoder(dict):
     Full, it keeps what came first, which holds the frequent ones.
     """
 
-    limit = 1_000_000
+    limit = 700_000
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
@@ -131,6 +131,7 @@ def encoder_of(model: str) -> Encoder:
     key = zlib.crc32(model.encode())
     if key not in _encoders:
         _encoders.clear()
+        _shared.clear()  # other operators' tables make room
         _encoders[key] = Encoder(model)
     return _encoders[key]
 
