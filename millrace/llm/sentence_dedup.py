@@ -1,9 +1,12 @@
 """Substring dedup over sliding sentence spans.
 
-Every run of SPAN consecutive sentences is hashed and looked up in the whole table; sentences covered by a run that
-is not its first occurrence are removed. Occurrences are ordered by doc_id, then by place in the text. Runs that
-repeat inside one text are found while the text is read; across texts a run needs only its least doc_id, which is a
-partial aggregate, so a passage that a third of all texts share is never gathered.
+Texts are cut at places that the words themselves decide: where a sentence ends, and in longer stretches before the
+words of least hash. So a passage is cut alike in every text that holds it, wherever it begins in a sentence and with or
+without marks. Runs of SPAN sentences or pieces (see `ranges`) are hashed and looked up in the whole table; pieces covered
+by a run that is not its first occurrence are removed. Any 51 words that came before hold such a run; of a longer passage
+up to 15 words at its head and 22 at its tail can stay where it begins or ends in mid-sentence. Occurrences are ordered by doc_id, then by place in the text. Runs that repeat inside one text are found
+while the text is read; across texts a run needs only its least doc_id, which is a partial aggregate, so a passage that
+a third of all texts share is never gathered.
 """
 
 from __future__ import annotations
@@ -18,58 +21,111 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import GOLDEN, U64, Scratch, fresh, mapped, mix, named
+from .common import GOLDEN, U64, Scratch, WordHashes, fresh, mapped, mix, named, shared
 
 SPAN = 3
-#: A sentence ends after [.!?] before white space, at a line's end, or after so many words.
-LONGEST = 16
-#: Runs with fewer words are chance repeats of short sentences.
+#: A piece ends after [.!?] before white space, or before a word of least hash, after so many words at the latest.
+LONGEST = 8
+#: Runs have at least so many words; fewer are chance repeats of short sentences.
 LEAST_WORDS = 12
-END = re.compile(r"[.!?]+(?=[ \t\n\r\f\v])[ \t\r\f\v]*\n*|\n+")
-CUT = re.compile(r"(?:[ \t\r\f\v]*+[^ \t\n\r\f\v]++){%d}[ \t\r\f\v]*+" % LONGEST)
+#: Runs of pieces that are not whole sentences have at least so many. Any 51 words that repeat hold a whole run:
+#: 3 * LONGEST - 1 + max(SPAN * LONGEST, LEAST_CUT + LONGEST - 1) is 51.
+LEAST_CUT = 21
+WORD = re.compile(r"\S+")
+BACK = U64(pow(int(GOLDEN), -1, 2**64))
 
 
-def sentences(text: str | None) -> list[str]:
-    """The text cut into sentences with what follows them; joined they give the text."""
-    out, start = [], 0
-    for m in END.finditer(text or ""):
-        out.append(text[start : m.end()])
-        start = m.end()
-    if text and start < len(text):
-        out.append(text[start:])
-    if any(len(s) > 2 * LONGEST and s.count(" ") >= LONGEST for s in out):
-        out = [piece for s in out for piece in pieces(s)]
-    return out
+class EndHashes(WordHashes):
+    """The hash of each word; its lowest bit says whether a sentence ends with the word."""
 
+    def hash_of(self, word: str) -> int:
+        return xxhash.xxh64_intdigest(word) & ~1 | word.endswith((".", "!", "?"))
 
-def pieces(sentence: str) -> list[str]:
-    """A long sentence after every LONGEST words."""
-    out, at = [], 0
-    if len(sentence) > 2 * LONGEST and sentence.count(" ") >= LONGEST:
-        while (m := CUT.match(sentence, at)) and m.end() < len(sentence) and sentence[m.end() :].strip():
-            out.append(sentence[at : m.end()])
-            at = m.end()
-    return [*out, sentence[at:]]
 
+def read(text: str | None) -> tuple[list[str], np.ndarray]:
+    """The words, and how many come before each line that has any."""
+    words, lines = [], []
+    for line in (text or "").split("\n"):
+        if found := line.split():
+            lines.append(len(words))
+            words += found
+    return words, np.array(lines, np.int64)
 
-def runs(parts: list[str], span: int = SPAN, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, first sentence) of each run of `span` sentences that have words; sentences without any are skipped.
 
-    A text with fewer sentences is one run. Case and marks count; white space doesn't.
+def cuts(h: np.ndarray, longest: int = LONGEST) -> np.ndarray:
+    """Before which words a piece begins, by the words alone: after a sentence's end, and before the least of each `longest` words.
+
+    A word is the least of its neighbours whatever stands further away: but for `longest` words at its head and
+    `longest` - 1 at its tail, a passage is cut alike everywhere. No `longest` words are without a cut. Starts of
+    sentences count as least, so that short sentences are not cut.
+    """
+    key = h >> U64(1)
+    key[1:][(h[:-1] & U64(1)).astype(bool)] = 0
+    out = key == 0
+    if (m := len(key) - longest + 1) > 0:
+        least = key[:m].copy()
+        for i in range(1, longest):
+            np.minimum(least, key[i : i + m], out=least)
+        most = np.zeros(len(key), U64)  # of the windows that hold a word, the greatest of their least
+        for i in range(longest):
+            np.maximum(most[i : i + m], least, out=most[i : i + m])
+        out |= key == most
+    return np.flatnonzero(out)
+
+
+def ranges(h: np.ndarray, lines: np.ndarray, span: int = SPAN, least: int = LEAST_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, word after the last) of each run, and before which words a piece or line begins.
+
+    From each piece and line: the shortest run of `span` pieces with LEAST_CUT words, and from a sentence `span` sentences
+    with `least` words too if that is shorter. To each line's end: the shortest run of the first kind. Those of the first
+    kind end at cuts whatever the lines are, so line breaks can't hide them. A text too short for them is one run.
     """
-    words = [p.split() for p in parts]
-    at = np.array([i for i, w in enumerate(words) if w], np.int64)
-    if not len(at):
-        return np.array([], U64), np.array([], np.int64)
-    h = np.array([xxhash.xxh64_intdigest(" ".join(w)) for w in words if w], U64)
-    n = np.array([len(w) for w in words if w], np.int64)
-    k = min(span, len(at))
-    m = len(at) - k + 1
-    out, total = np.full(m, k, U64), np.zeros(m, np.int64)
-    for i in range(k):
-        out = mix(out * GOLDEN + h[i : i + m])
-        total += n[i : i + m]
-    return out[total >= least], at[:m][total >= least]
+    n, none = len(h), np.array([], np.int64)
+    if not n:
+        return none, none, none
+    at = cuts(h)
+    whole = np.append(np.union1d(np.flatnonzero(h[:-1] & U64(1)) + 1, lines), n)
+    start, enough = np.union1d(at, lines), max(least, LEAST_CUT)
+    pieces = start
+    k = np.maximum(np.searchsorted(at, start, "right") + span - 1, np.searchsorted(at, start + enough))
+    end = np.where(k < len(at), np.append(at, 0)[np.minimum(k, len(at))], n + 1)
+    k = np.searchsorted(whole, start)
+    third = np.where((whole[k] == start) & (k + span < len(whole)), whole[np.minimum(k + span, len(whole) - 1)], n + 1)
+    short = (third < end) & (third - start >= least)
+    start, end = np.append(start[end <= n], start[short]), np.append(end[end <= n], third[short])
+    stop = np.append(lines[1:], n)
+    k = np.minimum(np.searchsorted(at, stop) - span, np.searchsorted(at, stop - enough, "right") - 1)
+    start, end = np.append(start, at[k[k >= 0]]), np.append(end, stop[k >= 0])
+    if n >= least and (not len(start) or start.min() > 0 or end.max() < n):
+        start, end = np.append(start, 0), np.append(end, n)
+    start, end = np.unique(np.stack([start, end]), axis=1)
+    return start, end, pieces
+
+
+def sentences(text: str | None) -> list[str]:
+    """The text cut into pieces with what follows them; joined they give the text."""
+    words, lines = read(text)
+    return split(text, ranges(shared(EndHashes).of(words), lines)[2]) if words else [text] if text else []
+
+
+def split(text: str, at: np.ndarray) -> list[str]:
+    """The text cut before the words `at`; what precedes the first word goes with it."""
+    begins = [m.start() for m in WORD.finditer(text)]
+    edges = [0, *(begins[i] for i in at.tolist() if i), len(text)]
+    return [text[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+def runs(text: str | None, span: int = SPAN, least: int = LEAST_WORDS) -> np.ndarray:
+    """The hash of each run of `ranges`. Case and marks count; white space doesn't."""
+    words, lines = read(text)
+    if not words:
+        return np.array([], U64)
+    h = shared(EndHashes).of(words)
+    start, end, _ = ranges(h, lines, span, least)
+    # sums of hash * GOLDEN^place, brought back to place 0
+    sums = np.concatenate((np.zeros(1, U64), np.cumsum(mix(h) * np.cumprod(np.full(len(h), GOLDEN, U64)), dtype=U64)))
+    back = np.cumprod(np.full(len(h), BACK, U64))
+    return mix((sums[end] - sums[start]) * back[start] + (end - start).astype(U64))
 
 
 def repeated_inside(hashes: np.ndarray) -> np.ndarray:
@@ -79,53 +135,45 @@ def repeated_inside(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def cover(parts: list[str], starts: list[int] | np.ndarray, span: int) -> np.ndarray:
-    """Marks the sentences that the runs from `starts` cover; sentences without words inside a run are covered too."""
-    has = np.array([bool(p.strip()) for p in parts], bool)
-    at = np.flatnonzero(has)
-    k = min(span, len(at))
-    order = {int(a): i for i, a in enumerate(at)}
-    marks = np.zeros(len(parts), bool)
-    for s in starts:
-        marks[s : at[order[int(s)] + k - 1] + 1] = True
-    return marks
-
-
-def strip(text: str | None, starts: list[int] | None, span: int = SPAN) -> tuple[str | None, int]:
-    """The text without the sentences that the runs from `starts` cover, and how many these are."""
-    if not text or not starts:
+def strip(text: str | None, again: list[int] | None, span: int = SPAN, least: int = LEAST_WORDS) -> tuple[str | None, int]:
+    """The text without the pieces that the runs numbered `again` cover, and how many these are."""
+    if not text or not again:
         return text, 0
-    parts = sentences(text)
-    gone = cover(parts, starts, span)
-    return "".join(p for p, g in zip(parts, gone, strict=True) if not g), int(gone.sum())
+    words, lines = read(text)
+    start, end, at = ranges(shared(EndHashes).of(words), lines, span, least)
+    depth = np.zeros(len(words) + 1, np.int64)
+    np.add.at(depth, start[again], 1)
+    np.add.at(depth, end[again], -1)
+    gone = np.cumsum(depth)[at] > 0
+    return "".join(p for p, g in zip(split(text, at), gone, strict=True) if not g), int(gone.sum())
 
 
 def repeats(docs: DataFrame, scratch: Scratch, span: int, least: int) -> DataFrame:
-    """(doc_id, text_hash, starts): sentences where a run begins that came before, in this text or a smaller doc_id's."""
+    """(doc_id, text_hash, again): the numbers of the runs that came before, in this text or a smaller doc_id's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes, starts, inside = [], [], []
+            hashes, places, inside = [], [], []
             for t in batch["text"].to_pylist():
-                h, at = runs(sentences(t), span, least)
+                h = runs(t, span, least)
                 again = repeated_inside(h)
                 hashes.append(h[~again].view(np.int64))
-                starts.append(at[~again].astype(np.int32))
-                inside.append(at[again].astype(np.int32))
-            arrays = [pa.array(hashes, pa.list_(pa.int64())), pa.array(starts, pa.list_(pa.int32())), pa.array(inside, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], *arrays], names=["doc_id", "text_hash", "hashes", "starts", "inside"])
+                places.append(np.flatnonzero(~again).astype(np.int32))
+                inside.append(np.flatnonzero(again).astype(np.int32))
+            arrays = [pa.array(hashes, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32())), pa.array(inside, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], *arrays], names=["doc_id", "text_hash", "hashes", "places", "inside"])
 
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
-    table = scratch.save(rows.mapInArrow(run, "doc_id long, text_hash long, hashes array<long>, starts array<int>, inside array<int>"), "runs")
-    spans = table.where("doc_id is not null").select("doc_id", "text_hash", F.explode(F.arrays_zip("hashes", "starts")).alias("r")).select("doc_id", "text_hash", F.col("r.hashes").alias("h"), F.col("r.starts").alias("start"))
+    table = scratch.save(rows.mapInArrow(run, "doc_id long, text_hash long, hashes array<long>, places array<int>, inside array<int>"), "runs")
+    spans = table.where("doc_id is not null").select("doc_id", "text_hash", F.explode(F.arrays_zip("hashes", "places")).alias("r")).select("doc_id", "text_hash", F.col("r.hashes").alias("h"), F.col("r.places").alias("place"))
     first = spans.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("h", "first")
-    later = spans.join(first, "h").where("doc_id > first").select("doc_id", "text_hash", "start")
-    inside = table.select("doc_id", "text_hash", F.explode("inside").alias("start"))
-    return later.unionByName(inside).groupBy("doc_id", "text_hash").agg(F.collect_set("start").alias("starts"))
+    later = spans.join(first, "h").where("doc_id > first").select("doc_id", "text_hash", "place")
+    inside = table.select("doc_id", "text_hash", F.explode("inside").alias("place"))
+    return later.unionByName(inside).groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("again"))
 
 
 def substring_dedup(docs: DataFrame, span: int = SPAN, least: int = LEAST_WORDS, scratch: Scratch | None = None, counts: bool = True) -> DataFrame:
-    """`docs` with repeated sentences removed from `text`, and the column n_removed (long: sentences) if `counts`.
+    """`docs` with repeated pieces removed from `text`, and the column n_removed (long: pieces, see `sentences`) if `counts`.
 
     n_chars, where there, becomes the new length of a changed text. Every row stays, even one left without text.
     A null text stays null. A row whose doc_id is null is only cleaned of repeats inside itself and is no first
@@ -135,36 +183,36 @@ def substring_dedup(docs: DataFrame, span: int = SPAN, least: int = LEAST_WORDS,
     scratch = scratch or Scratch(docs.sparkSession, "sentences")
     names = [c for c in docs.columns if not (counts and c == "n_removed")]
     docs = docs.select(*named(names))
-    at, digest, starts = (fresh(names, n) for n in ("_id", "_hash", "_starts"))
-    again = repeats(docs, scratch, span, least).select(F.col("doc_id").alias(at), F.col("text_hash").alias(digest), F.col("starts").alias(starts))
+    at, digest, gone = (fresh(names, n) for n in ("_id", "_hash", "_gone"))
+    again = repeats(docs, scratch, span, least).select(F.col("doc_id").alias(at), F.col("text_hash").alias(digest), F.col("again").alias(gone))
     both = docs.join(again, F.col("doc_id").cast("long").eqNullSafe(F.col(at)) & (F.xxhash64("text") == F.col(digest)), "left")
     schema = T.StructType([*docs.schema.fields, *([T.StructField("n_removed", T.LongType())] if counts else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [strip(t, s, span) for t, s in zip(batch["text"].to_pylist(), batch[starts].to_pylist(), strict=True)]
+            out = [strip(t, s, span, least) for t, s in zip(batch["text"].to_pylist(), batch[gone].to_pylist(), strict=True)]
             new = {"text": pa.array([x[0] for x in out], pa.string())}
             if "n_chars" in names:
                 new["n_chars"] = pa.array([len(x[0]) if x[1] else n for x, n in zip(out, batch["n_chars"].to_pylist(), strict=True)], batch["n_chars"].type)
             arrays = [*(new.get(c, batch[c]) for c in names), *([pa.array([x[1] for x in out], pa.int64())] if counts else [])]
             yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return mapped(both.select(*named(names), starts), run, schema)
+    return mapped(both.select(*named(names), gone), run, schema)
 
 
 def brute_force(rows: list[tuple[int, str | None]], span: int = SPAN, least: int = LEAST_WORDS) -> dict[int, str | None]:
     """Texts after removal, with a dictionary of first occurrences of runs of words; for tests on small tables."""
     first: dict[tuple, tuple[int, int]] = {}
-    cut = {i: [(k, tuple(p.split())) for k, p in enumerate(sentences(t)) if p.split()] for i, t in rows}
-    spans = {i: [(c[j : j + min(span, len(c))]) for j in range(len(c) - min(span, len(c)) + 1)] if c else [] for i, c in cut.items()}
-    for i in sorted(spans):
-        for j, r in enumerate(spans[i]):
-            first.setdefault(tuple(w for _, w in r), (i, j))
+    found = {}
+    for i, t in sorted(rows):
+        words, lines = read(t)
+        start, end, at = ranges(shared(EndHashes).of(words), lines, span, least)
+        found[i] = words, at, list(zip(start.tolist(), end.tolist(), strict=True))
+        for a, b in found[i][2]:
+            first.setdefault(tuple(words[a:b]), (i, a))
     out = {}
     for i, t in rows:
-        parts, gone = sentences(t), set()
-        for j, r in enumerate(spans[i]):
-            if sum(len(w) for _, w in r) >= least and first[tuple(w for _, w in r)] != (i, j):
-                gone.update(range(r[0][0], r[-1][0] + 1))
-        out[i] = "".join(p for k, p in enumerate(parts) if k not in gone) if t is not None else None
+        words, at, spans = found[i]
+        gone = {k for a, b in spans if first[tuple(words[a:b])] != (i, a) for k in range(a, b)}
+        out[i] = "".join(p for p, a in zip(split(t, at), at.tolist(), strict=True) if a not in gone) if words else t
     return out

@@ -66,6 +66,38 @@ def test_sentence_cuts_are_lossless_and_short():
         assert "".join(parts) == text and all(len(p.split()) <= 2 * sentence_dedup.LONGEST for p in parts)
 
 
+def test_passages_spliced_in_mid_sentence(spark):
+    """Whatever stands around a passage, with marks or without, wrapped or not: no 51 words that came before stay."""
+    rng = np.random.default_rng(5)
+
+    def prose(n, marks):
+        words = [f"v{x}" for x in rng.integers(0, 5000, n)]
+        return [w + "." if marks and rng.random() < 1 / marks else w for w in words]
+
+    rows, passages = [], [prose(n, marks) for n in (51, 52, 60, 90, 200) for marks in (0, 9, 30)]
+    for i in range(120):
+        passage = passages[i % len(passages)]
+        words = [*prose(int(rng.integers(0, 40)), 12), *passage, *prose(int(rng.integers(0, 40)), 0)]
+        width = 5 if i % 7 == 3 else 1000
+        rows.append((i, "\n".join(" ".join(words[k : k + width]) for k in range(0, len(words), width))))
+    rows += [(200 + i, " ".join(prose(300, 10))) for i in range(20)]
+    twice = prose(70, 0)
+    rows.append((300, " ".join([*prose(5, 0), *twice, *prose(9, 0), *twice, "end"])))
+    out = {r.doc_id: r.text for r in sentence_dedup.substring_dedup(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()}
+    assert out == sentence_dedup.brute_force(rows)
+    seen, repeated = set(), 0
+    for i, text in rows:
+        words, left = text.split(), " " + " ".join(out[i].split()) + " "
+        windows = [" ".join(words[k : k + 51]) for k in range(len(words) - 50)]
+        before = [w for w in windows if w in seen]
+        assert not any(f" {w} " in left for w in before), i
+        assert before or i == 300 or out[i] == text, "texts without a repeat stay as they are"
+        seen.update(windows)
+        repeated += bool(before)
+    assert repeated == 120 - len(passages)
+    assert " ".join(twice) in out[300] and out[300].count(twice[35]) == 1
+
+
 def test_line_rules(spark, odd_docs, no_docs):
     out = line_rules.quality_rules(odd_docs).collect()
     assert len(out) == odd_docs.count() and line_rules.quality_rules(no_docs).count() == 0
