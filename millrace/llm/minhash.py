@@ -10,8 +10,8 @@ Plan, for a table of any size:
    which gives at most `bands` candidates a document. Candidates are confirmed on the full sets.
 3. A star can miss a link between two members that are both unlike the centre. So each bucket in which a candidate
    failed and whose members are still in several components is searched in full: its members are cut into blocks that
-   go to different tasks with their texts, and pairs from different components whose signatures come near the threshold
-   are compared there. A block gives a link only where it joins two components, so no pairs leave it. No partner is
+   go to different tasks with their texts, and pairs from different components that an exact bound
+   leaves open are compared there. A block gives a link only where it joins two components, so no pairs leave it. No partner is
    dropped.
 4. Components of the confirmed links.
 """
@@ -121,19 +121,24 @@ def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, per_s
 class Blocks:
     """Links between different components inside one block of a bucket, or between two blocks of it.
 
-    A pair whose sets are too unlike in size can't link (exact). Nor does one whose signatures agree by `slack` less
-    than the threshold: four deviations of the estimate from 140 bins; sets of under `least` shingles are not judged by
-    it. All others are compared in full, unless links found in the block already join them.
+    A pair whose sets are too unlike in size can't link. Nor can one whose bitmaps differ too much: each bit that only
+    one of them has stands for a shingle that the other lacks. Both bounds are exact. All other pairs are compared in
+    full, unless links found in the block already join them.
     """
 
-    def __init__(self, shingle: int, percent: int, slack: float = 0.12, least: int = 100):
-        self.hasher, self.percent, self.slack, self.least = Hasher(shingle), percent, slack, least
+    def __init__(self, shingle: int, percent: int, bits: int = 16_384):
+        self.hasher, self.percent, self.bits = Hasher(shingle), percent, bits
+
+    def bitmap(self, shingles: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.bits, np.uint8)
+        out[mix(shingles) % U64(self.bits)] = 1
+        return np.packbits(out).view(U64)
 
     def links(self, rows: pa.Table) -> list[tuple[int, int]]:
         ids, side, component = rows["doc_id"].to_pylist(), rows["side"].to_numpy(), rows["component"].to_numpy()
         sets = [self.hasher.shingles(t) for t in rows["text"].to_pylist()]
         n = np.array([len(x) for x in sets])
-        sig = np.stack([(mix(self.hasher.signature(x)) & U64(255)).astype(np.uint8) for x in sets])
+        maps = np.stack([self.bitmap(x) for x in sets])
         root = {int(c): int(c) for c in component}
 
         def find(x: int) -> int:
@@ -150,8 +155,9 @@ class Blocks:
             low, high = np.minimum(n[others], n[a]), np.maximum(n[others], n[a])
             others = others[(component[others] != component[a]) & (100 * low >= self.percent * high)]
             if len(others):
-                near = (sig[others] == sig[a]).mean(axis=1) >= self.percent / 100 - self.slack
-                others = others[near | (np.minimum(n[others], n[a]) < self.least)]
+                theirs = maps[others]
+                most = np.minimum(n[a] - np.bitwise_count(maps[a] & ~theirs).sum(axis=1, dtype=np.int64), n[others] - np.bitwise_count(theirs & ~maps[a]).sum(axis=1, dtype=np.int64))
+                others = others[100 * most >= self.percent * (n[a] + n[others] - most)]
             for b in others:
                 x, y = find(int(component[a])), find(int(component[b]))
                 if x != y:

@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
 from millrace.llm import hilbert, line_rules, minhash, packing, sentence_dedup, sentencepiece, toxicity, warc, weak_labels
@@ -46,6 +47,18 @@ def test_minhash_against_all_pairs(spark):
         assert got == expected
 
 
+def test_minhash_blocks_pass_over_no_link():
+    """A pair of similarity 0.8 whose signatures agree in 62 % of the bins only."""
+    blocks = minhash.Blocks(1, 80)
+    x = np.random.default_rng(17624).integers(0, 2**64, 125, dtype=np.uint64)
+    sets = {"a": np.unique(x[:112]), "b": np.unique(np.concatenate((x[:100], x[112:]))), "c": np.unique(np.concatenate((x[:99], x[112:], x[:1] + np.uint64(1))))}
+    assert (blocks.hasher.signature(sets["a"]) == blocks.hasher.signature(sets["b"])).mean() < 0.63
+    blocks.hasher.shingles = sets.__getitem__
+    for other, links in (("b", [(1, 2)]), ("c", [])):
+        rows = pa.table({"doc_id": [1, 2], "side": [0, 0], "component": [1, 2], "text": ["a", other]})
+        assert blocks.links(rows) == links
+
+
 def test_sentences(spark, odd_docs, no_docs, small):
     out = sentence_dedup.substring_dedup(odd_docs)
     assert out.columns == [c for c in odd_docs.columns if c != "n_removed"] + ["n_removed"]
