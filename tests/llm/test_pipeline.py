@@ -65,6 +65,26 @@ def test_stages(spark, corpus):
     assert sorted({r.doc_id for r in seen[5].collect()}, key=str) == sorted(set(ids[4]), key=str)
 
 
+def test_repeats_in_mid_sentence(spark, tmp_path):
+    """A passage of 60 words, without marks or with, in the middle of sentences: the stage keeps its first occurrence only."""
+    rng = np.random.default_rng(12)
+    plain = [f"p{x}" for x in rng.integers(0, 3000, 60)]
+    marked = [w + "." if k % 13 == 6 else w for k, w in enumerate(f"m{x}" for x in rng.integers(0, 3000, 60))]
+    rows = []
+    for i in range(40):
+        passage = (plain, marked)[i % 2]
+        head, tail = prose(rng, 3).rstrip(".").split(), prose(rng, 3).split()
+        rows.append((i, " ".join([*head[: 15 + i % 17], *passage, *tail[i % 5 :]])))
+    clean = {100 + i: prose(rng) for i in range(10)}
+    docs = spark.createDataFrame(rows + list(clean.items()), "doc_id BIGINT, text STRING")
+    out = {r.doc_id: r.text for r in dict(corpus_pipeline.STAGES)["substring_dedup"](spark, docs, str(tmp_path)).collect()}
+    assert all(out[i] == t for i, t in [*rows[:2], *clean.items()])
+    for i, _ in rows[2:]:
+        words, passage = out[i].split(), (plain, marked)[i % 2]
+        runs = {" ".join(words[k : k + 23]) for k in range(len(words))}
+        assert not any(" ".join(passage[k : k + 23]) in runs for k in range(len(passage) - 22)), i
+
+
 def test_run_equals_the_stages(spark, corpus):
     path, _, _ = corpus
     docs = spark.read.parquet(f"{path}/documents.parquet")
