@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -23,10 +25,20 @@ MIX_1 = U64(0xBF58476D1CE4E5B9)
 MIX_2 = U64(0x94D049BB133111EB)
 
 
+#: Rows that one file of a small written table holds at least.
+ROWS_PER_FILE = 200_000
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster, from spark.checkpoint.dir; a folder under /tmp only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return root or "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
+    """The shared folder of the cluster, from spark.checkpoint.dir.
+
+    Where that is unset, a folder under /tmp serves a session that runs in one process; a cluster has to name one.
+    """
+    if root := spark.conf.get("spark.checkpoint.dir", None):
+        return root
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "checkpoints")
 
 
 def importable(spark: SparkSession) -> None:
@@ -55,7 +67,10 @@ class Scratch:
     def path(self, name: str) -> str:
         return f"{self.base}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame:
+        """Writes a table and reads it back. most_rows: a bound of its rows, so that few rows don't make many small files."""
+        if most_rows is not None:
+            df = df.coalesce(1 + most_rows // ROWS_PER_FILE)
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
@@ -97,15 +112,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+#: Bytes of a dict's slot, with what the table keeps free.
+SLOT = 100
+
+
 class WordHashes(dict):
-    """64-bit hash of each word seen. Full, it keeps what came first, which holds the frequent ones; memory stays bounded."""
+    """64-bit hash of each word seen. Full, it keeps what came first, which holds the frequent ones.
+
+    `room` bounds its memory in bytes, however long the words are.
+    """
 
-    limit = 400_000
+    room = 40 << 20
 
     def __missing__(self, word: bytes) -> int:
         h = self.hash_of(word)
-        if len(self) < self.limit and len(word) < 64:
+        size = sys.getsizeof(word) + sys.getsizeof(h) + SLOT
+        if size <= self.room:
             self[word] = h
+            self.room -= size
         return h
 
     def hash_of(self, word: bytes) -> int:
@@ -148,15 +172,18 @@ def ranked(df: DataFrame, key: str, order: list[str], rank: str = "rank", per_bu
 
     A key with very many rows is dealt over as many buckets as it needs, so that no task holds all of them:
     place = rows in the earlier buckets of the key + place in the bucket. `df` must be a written table, as it is read
-    three times. The sums run over one row for each key and bucket. few_keys: the keys are bounded by their definition
+    three times; rows alike in `order` are told apart by where they are written, so they are dealt over the buckets
+    too. The sums run over one row for each key and bucket. few_keys: the keys are bounded by their definition
     (lengths, cells of a grid), so their counts are broadcast. Keys must not be null.
     """
+    df = df.withColumns({"_file": F.xxhash64("_metadata.file_name"), "_row": F.col("_metadata.row_index")})
+    order = [*order, "_file", "_row"]
     buckets = df.groupBy(key).agg(F.count("*").alias("_n")).select(key, F.ceil(F.col("_n") / per_bucket).cast("int").alias("_of"))
     dealt = df.join(F.broadcast(buckets) if few_keys else buckets, key).withColumn("_b", F.expr(f"pmod(xxhash64({', '.join(order)}), _of)")).drop("_of")
     counts = dealt.groupBy(key, "_b").agg(F.count("*").alias("_n"))
     before = counts.select(key, "_b", (F.sum("_n").over(Window.partitionBy(key).orderBy("_b")) - F.col("_n")).alias("_before"))
     place = F.row_number().over(Window.partitionBy(key, "_b").orderBy(*order)) - 1
-    return dealt.withColumn("_place", place).join(before, [key, "_b"]).withColumn(rank, F.col("_before") + F.col("_place")).drop("_b", "_before", "_place")
+    return dealt.withColumn("_place", place).join(before, [key, "_b"]).withColumn(rank, F.col("_before") + F.col("_place")).drop("_b", "_before", "_place", "_file", "_row")
 
 
 def array_runs(batches: Iterator[pa.RecordBatch], key: list[str], arrays: Callable[[pa.RecordBatch], dict[str, np.ndarray]]) -> Iterator[tuple[tuple, dict[str, np.ndarray]]]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, _shared, ranked
+from .common import SLOT, Scratch, _shared, ranked
 
 CAPACITY = 4096
 END_ID = 1
@@ -90,10 +90,10 @@ class Encoder(dict):
 
     The model's own pre-tokenizer never joins what a space or a line feed separates, nor a letter and a mark after it, and
     it lowers case, so each such part is encoded alone and kept: the ids of a text are those of its chunks in a row.
-    Full, it keeps what came first, which holds the frequent ones.
+    Full, it keeps what came first, which holds the frequent ones; `room` bounds its bytes.
     """
 
-    limit = 700_000
+    room = 128 << 20
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
@@ -111,8 +111,10 @@ class Encoder(dict):
             out = array("I", self.model.encode(chunk, add_special_tokens=False).ids).tobytes()
             if sys.byteorder == "big":
                 out = np.frombuffer(out, ">u4").astype("<u4").tobytes()
-        if len(self) < self.limit and len(chunk) < 64:
+        size = sys.getsizeof(chunk) + sys.getsizeof(out) + SLOT
+        if size <= self.room:
             self[chunk] = out
+            self.room -= size
         return out
 
     def ids(self, text: str | None) -> bytes:

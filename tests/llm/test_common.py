@@ -2,19 +2,27 @@
 
 import pyarrow as pa
 
-from millrace.llm.common import Scratch, fresh, ranked, runs, scratch_root, words_of
+from millrace.llm.common import Scratch, WordHashes, fresh, ranked, runs, scratch_root, words_of
 
 
 def test_ranks_are_gapless_over_buckets(spark):
-    rows = spark.range(500).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id % 11 END AS length", "id", "id % 5 AS x")
-    for few in (True, False):
-        out = ranked(rows, "length", ["id"], per_bucket=7, few_keys=few).collect()
+    rows = Scratch(spark, "test").save(spark.range(500).selectExpr("CASE WHEN id % 3 = 0 THEN 7 ELSE id % 11 END AS length", "id", "id % 5 AS x"), "rows")
+    for few, order in ((True, "id"), (False, "id"), (True, "x")):  # many rows tie in x
+        out = ranked(rows, "length", [order], per_bucket=7, few_keys=few).collect()
         by = {}
         for r in out:
             by.setdefault(r.length, []).append(r["rank"])
         assert len(out) == 500 and all(sorted(v) == list(range(len(v))) for v in by.values())
 
 
+def test_word_tables_are_bounded_in_bytes():
+    class Small(WordHashes):
+        room = 5_000
+
+    table, words = Small(), [b"%d" % i for i in range(500)] + [b"x" * 100_000]
+    assert table.of(words).tolist() == [table.hash_of(w) for w in words] and 10 < len(table) < 40
+
+
 def test_fresh_names():
     assert fresh(["a", "_ID", "__id"], "_id") == "___id" and fresh([], "x") == "x"
 
