@@ -9,10 +9,13 @@ Plan, for a table of any size:
 2. Rows of a bucket (a band's hash) are never paired with each other: each is paired with the bucket's least doc_id,
    which gives at most `bands` candidates a document. Candidates are confirmed on the full sets.
 3. A star can miss a link between two members that are both unlike the centre. So each bucket in which a candidate
-   failed and whose members are still in several components is searched in full: its members are cut into blocks that
-   go to different tasks with their texts, and pairs from different components that an exact bound
-   leaves open are compared there. A block gives a link only where it joins two components, so no pairs leave it. No partner is
-   dropped.
+   failed and whose members are still in several components is searched in full. Sets that link are alike in size, so
+   members are dealt by a scale of sizes and meet only the same and the next step of it. Of each such part, the members
+   outside its largest component (which are few where a bucket is mixed by chance) are cut into blocks, and so is the
+   largest component; a block of the first meets every block of either kind. So a large group of near copies with some
+   strangers is sent about once, and only a part whose members are mostly in different components costs the number of
+   members times that of its blocks. Pairs from different components that an exact bound leaves open are compared. A
+   task gives a link only where it joins two components, so no pairs leave it. No partner is dropped.
 4. Components of the confirmed links.
 """
 
@@ -88,12 +91,14 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SIGNATURE)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, per_salt: int = 256) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, scratch: Scratch, per_salt: int = 256) -> DataFrame:
     """`pairs` (c, d) with `linked`: 100 * intersection >= percent * union, on the full sets of the documents' words.
 
-    Each text travels once for each of its pairs. A centre with many pairs is dealt over several salts.
+    Each text travels once for each of its pairs; very long ones are compared whole. A centre with many pairs is dealt
+    over several salts; how many is written first, so that its pairs can be split over tasks in the join too. Pairs of
+    which either document is not in `docs` are not returned; no pair gives an empty result.
     """
-    salts = pairs.groupBy("c").agg(F.ceil(F.count("*") / per_salt).cast("int").alias("of"))
+    salts = scratch.save(pairs.groupBy("c").agg(F.ceil(F.count("*") / per_salt).cast("int").alias("of")), "salts")
     salted = pairs.join(salts, "c").select("c", "d", F.expr("pmod(xxhash64(d), of)").alias("salt"))
     needs = salted.select("c", "salt", F.col("d").alias("doc_id")).unionByName(salted.select("c", "salt", F.col("c").alias("doc_id")).distinct())
     texts = needs.join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id")
@@ -135,7 +140,7 @@ class Blocks:
         return np.packbits(out).view(U64)
 
     def links(self, rows: pa.Table) -> list[tuple[int, int]]:
-        ids, side, component = rows["doc_id"].to_pylist(), rows["side"].to_numpy(), rows["component"].to_numpy()
+        ids, side, component, low_step = rows["doc_id"].to_pylist(), rows["side"].to_numpy(), rows["component"].to_numpy(), rows["low"].to_numpy()
         sets = [self.hasher.shingles(t) for t in rows["text"].to_pylist()]
         n = np.array([len(x) for x in sets])
         maps = np.stack([self.bitmap(x) for x in sets])
@@ -152,6 +157,8 @@ class Blocks:
         found = []
         for k, a in enumerate(left):
             others = left[k + 1 :] if within else right
+            if not low_step[a]:  # two of the higher step meet in that step's own part
+                others = others[low_step[others]]
             low, high = np.minimum(n[others], n[a]), np.maximum(n[others], n[a])
             others = others[(component[others] != component[a]) & (100 * low >= self.percent * high)]
             if len(others):
@@ -176,45 +183,57 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     A document with fewer words than a shingle has the whole sequence as its one shingle. A null text, an empty one or
     one without words has an empty set, which links with nothing. Rows that share a doc_id count as one document for
     links, and each gets its own n_shingles. A row whose doc_id is null links with nothing, has a null component_id
-    and is kept. Other columns are ignored; an empty table gives an empty result.
+    and is kept. Texts are read whole, however long: memory grows with the longest text of a task's block. Equal sets
+    tie, and the least doc_id stays. Other columns are ignored; an empty table gives an empty result.
     """
     scratch = scratch or Scratch(docs.sparkSession, "minhash")
     sigs = scratch.save(signatures(docs, shingle, bands, rows), "sigs")
+    # what is joined to groups that may be hot is written first: Spark splits only what both come from plain shuffles
     classes = scratch.save(sigs.where("doc_id is not null and n_shingles > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep")), "classes")
     reps = sigs.join(classes.withColumnRenamed("rep", "doc_id"), ["fp1", "fp2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "fp1", "fp2"])
-    banded = reps.select(F.col("doc_id").alias("d"), F.explode("bands").alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("d").alias("c"), F.count("*").alias("n")).where("n > 1")
-    stars = scratch.save(banded.join(buckets, "key").select("key", "c", "d", "n"), "stars")
+    banded = reps.select(F.col("doc_id").alias("d"), F.explode("bands").alias("key"), "n_shingles")
+    buckets = scratch.save(banded.groupBy("key").agg(F.min("d").alias("c"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    stars = scratch.save(banded.join(buckets, "key").select("key", "c", "d", "n", "n_shingles"), "stars")
 
     texts = docs.select("doc_id", "text")
-    pairs = stars.where("c <> d").select("c", "d").distinct()
-    checked = scratch.save(confirm(pairs, _one_text(texts), shingle, percent), "checked")
+    pairs = scratch.save(stars.where("c <> d").select("c", "d").distinct(), "pairs")
+    checked = scratch.save(confirm(pairs, _one_text(texts), shingle, percent, scratch), "checked")
     found = checked.where("linked").select(F.col("c").alias("u"), F.col("d").alias("v"))
     # rows with one doc_id and several texts: their classes meet in the id; classes of one set meet in its least id
     own = sigs.where("doc_id is not null and n_shingles > 0").join(classes, ["fp1", "fp2"]).select("doc_id", "rep")
     found = found.unionByName(own.where("rep <> doc_id").select(F.col("rep").alias("u"), F.col("doc_id").alias("v")))
-    labels = connected(found, scratch, "cc")
-
-    mixed = stars.where("n > 2").join(checked.where("not linked").select("c", "d"), ["c", "d"], "left_semi").select("key").distinct()
-    members = stars.join(mixed, "key", "left_semi").join(labels.withColumnRenamed("node", "d"), "d", "left").select("key", "d", F.coalesce("component", "d").alias("component"))
-    # bands often make the same bucket again: one of those with the same members is enough
-    several = members.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count("*").alias("n"), F.expr("sum(d % 1000003 * 31 + pmod(xxhash64(d), 1000000007))").alias("h")).where("a <> b")
-    several = several.groupBy("n", "h", "a", "b").agg(F.min("key").alias("key")).select("key", F.ceil(F.col("n") / block).cast("int").alias("of"))
-    placed = members.join(several, "key").withColumn("at", F.expr("pmod(xxhash64(d), of)")).withColumn("other", F.explode(F.expr("sequence(0, of - 1)")))
-    dealt = placed.select("key", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), F.when(F.col("at") > F.col("other"), 1).otherwise(0).alias("side"), F.col("d").alias("doc_id"), "component")
+    labels = scratch.save(connected(found, scratch, "cc"), "labels")
+
+    failed = stars.where("n > 2").join(checked.where("not linked").select("c", "d"), ["c", "d"], "left_semi").select("key").distinct()
+    doubtful = stars.join(scratch.save(failed, "failed"), "key", "left_semi")
+    # a member of size s meets those of sizes up to 100 * s / percent: its own step of the scale and the next
+    step = F.floor(F.log("n_shingles") / float(np.log(100 / percent)) + 1e-9).cast("int") if percent < 100 else F.col("n_shingles")
+    members = doubtful.join(labels.withColumnRenamed("node", "d"), "d", "left").select("key", "d", F.coalesce("component", "d").alias("component"), F.explode(F.array(step, step - 1)).alias("step"), step.alias("own"))
+    members = scratch.save(members, "members")
+    per = members.groupBy("key", "step", "component").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("d")).alias("h1"), F.bit_xor(F.xxhash64("d", F.lit(17))).alias("h2"), F.max(F.expr("own = step")).alias("low"))
+    parts = per.groupBy("key", "step").agg(F.count("*").alias("components"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("main"), F.bit_xor("h1").alias("h1"), F.bit_xor("h2").alias("h2"), F.max("low").alias("low"))
+    # bands often make the same part again: one of those with the same members is enough
+    parts = parts.where("components > 1 and low").groupBy("h1", "h2", "n", "main").agg(F.min(F.struct("key", "step")).alias("k"))
+    of = [F.ceil(x / block).cast("int").alias(y) for x, y in ((F.col("n") - F.col("main.n"), "of_few"), (F.col("main.n"), "of_main"))]
+    parts = scratch.save(parts.select("k.key", "k.step", F.col("main.component").alias("main"), *of), "parts")
+    # the few in block `at` meet the few of each block and the main component's of each block, whose numbers come after
+    dealt = members.join(parts, ["key", "step"]).withColumn("few", F.expr("component <> main")).withColumn("at", F.expr("pmod(xxhash64(d), if(few, of_few, of_main))"))
+    dealt = dealt.withColumn("other", F.explode(F.expr("if(few, sequence(0, of_few + of_main - 1), sequence(0, of_few - 1))"))).withColumn("at", F.expr("if(few, at, of_few + at)"))
+    dealt = dealt.select("key", "step", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), F.when(F.col("at") > F.col("other"), 1).otherwise(0).alias("side"), F.col("d").alias("doc_id"), "component", F.expr("own = step").alias("low"))
     full = dealt.join(_one_text(texts), "doc_id")
-    full = full.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "doc_id")
+    place = ["key", "step", "i", "j"]
+    full = full.repartition(*place).sortWithinPartitions(*place, "side", "doc_id")
 
     def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks = Blocks(shingle, percent)
-        for _, rows in runs(batches, ["key", "i", "j"]):
+        for _, rows in runs(batches, place):
             if found := blocks.links(rows):
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["u", "v"])
 
     more = scratch.save(full.mapInArrow(searched, "u long, v long"), "more")
     if not more.isEmpty():
         tree = labels.where("node <> component").select(F.col("component").alias("u"), F.col("node").alias("v"))
-        labels = connected(more.unionByName(tree), scratch, "cd")
+        labels = scratch.save(connected(more.unionByName(tree), scratch, "cd"), "relabelled")
 
     out = sigs.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
