@@ -1,7 +1,8 @@
 """Near-duplicate embeddings by cross-polytope hashing (Andoni et al. 2015).
 
 A vector is rotated by sign flips and fast Hadamard transforms, three times over; its hash is the nearest of the 2d
-signed axes. A bucket of a table is a pair of such hashes. Every vector lies in its own bucket and is also sent to a
+signed axes. A bucket of a table is a few such hashes, the last of which looks at some of the axes only: how many is
+set by the count of vectors (`shape`), so that buckets stay as full at any size. Every vector lies in its own bucket and is also sent to a
 few neighbouring buckets (multiprobe: the next-best axis of either hash). Two vectors are a candidate pair of a table if
 one's own bucket is among the other's; pairs are confirmed by cosine in double precision inside the bucket, as blocks
 of one matrix product, and counted in the first table that makes them candidates. So no pair ever leaves its block:
@@ -12,6 +13,7 @@ before hashing, and a bucket with very many vectors is cut into blocks that go t
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +23,39 @@ from pyspark.sql import functions as F
 from .common import Scratch, array_runs
 from .components import connected
 
-#: 8 tables of 2 hashes with 3 probes miss about 2 in a million pairs at a cosine of 0.95 in 64 dimensions.
-TABLES, HASHES, PROBES, BLOCK = 8, 2, 3, 1024
+PROBES, BLOCK, STRIP = 3, 2048, 512
+#: Vectors that a bucket should hold of its own.
+LOAD = 32
+#: Tables by the number of hashes: these miss at most some 3 in a million pairs at a cosine of 0.95 in 64 dimensions.
+TABLES = {2: 8, 3: 16, 4: 28}
 LEAST = 0.95
 
 
+class Shape(NamedTuple):
+    """How many tables, hashes in a table, probes, and axes that the last hash of a table looks at."""
+
+    tables: int
+    hashes: int
+    probes: int
+    last: int
+
+
+def width(dim: int) -> int:
+    return max(2, 1 << (dim - 1).bit_length())
+
+
+def shape(classes: int, dim: int, probes: int = PROBES, load: int = LOAD) -> Shape:
+    """The least number of buckets that keeps `load` of `classes` vectors in one, if they lie evenly."""
+    w, wanted = width(dim), classes / load
+    for hashes, tables in TABLES.items():
+        last = 2
+        while last < w and (2 * w) ** (hashes - 1) * 2 * last < wanted:
+            last *= 2
+        if (2 * w) ** (hashes - 1) * 2 * last >= wanted:
+            break
+    return Shape(6 if hashes == 2 and last <= 8 else tables, hashes, probes, last)
+
+
 def hadamard(x: np.ndarray) -> np.ndarray:
     """Fast Walsh-Hadamard transform of the rows, scaled to keep lengths; the width must be a power of two."""
     n, d = x.shape
@@ -38,14 +68,11 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 class CrossPolytope:
-    """Buckets of unit vectors: for each table its own, then the probes, in order of what they lose in height.
-
-    More hashes a table make finer buckets: 2 serve some 10^7 vectors, 3 some 10^9.
-    """
+    """Buckets of unit vectors: for each table its own, then the probes, in order of what they lose in height."""
 
-    def __init__(self, dim: int, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, seed: int = 11):
-        self.width = max(2, 1 << (dim - 1).bit_length())
-        self.tables, self.hashes, self.probes = tables, hashes, probes
+    def __init__(self, dim: int, tables: int, hashes: int, probes: int, last: int, seed: int = 11):
+        self.width = width(dim)
+        self.tables, self.hashes, self.probes, self.last = tables, hashes, probes, min(last, self.width)
         self.signs = np.random.default_rng(seed).choice([-1.0, 1.0], (tables, hashes, 3, self.width))
 
     def buckets(self, unit: np.ndarray) -> np.ndarray:
@@ -53,16 +80,18 @@ class CrossPolytope:
         n, w = len(unit), self.width
         x = np.zeros((n, w))
         x[:, : unit.shape[1]] = unit
-        few = min(self.probes + 1, w)
         out = np.empty((n, self.tables, 1 + self.probes), np.int64)
         for t in range(self.tables):
             codes, loss = np.zeros((n, 1), np.int64), np.zeros((n, 1))
-            for signs in self.signs[t]:
+            for k, signs in enumerate(self.signs[t]):
                 y = x
                 for s in signs:
                     y = hadamard(y * s)
-                size = np.abs(y)
-                best = np.argpartition(-size, few - 1, axis=1)[:, :few] if few < w else np.tile(np.arange(w), (n, 1))
+                if k == self.hashes - 1:
+                    y = y[:, : self.last]
+                size, axes = np.abs(y), y.shape[1]
+                few = min(self.probes + 1, axes)
+                best = np.argpartition(-size, few - 1, axis=1)[:, :few] if few < axes else np.tile(np.arange(axes), (n, 1))
                 best = np.take_along_axis(best, np.argsort(-np.take_along_axis(size, best, 1), axis=1, kind="stable"), 1)
                 top = np.take_along_axis(size, best, 1)
                 axis = 2 * best + (np.take_along_axis(y, best, 1) < 0)
@@ -120,27 +149,27 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 class Block:
     """Links among the rows of one bucket, or between two blocks of its rows."""
 
-    def __init__(self, least: float, tables: int, hashes: int, probes: int):
-        self.least, self.make, self.hashers = least, (tables, hashes, probes), {}
+    def __init__(self, least: float, shapes: dict[int, Shape]):
+        self.least, self.shapes, self.hashers = least, shapes, {}
 
     def links(self, table: int, bucket: int, ids: np.ndarray, weights: np.ndarray, own: np.ndarray, side: np.ndarray, unit: np.ndarray):
         """(ids, links, other) of the rows that have links found first here."""
         split = int(np.searchsorted(side, 1))  # rows come in order of side
-        if split == len(side):
-            near = unit @ unit.T >= self.least
-            if np.count_nonzero(near) == np.count_nonzero(near.diagonal()):
-                return None
-            a, b = np.nonzero(np.triu(near, 1))
-        else:
-            a, b = np.nonzero(unit[:split] @ unit[split:].T >= self.least)
-            b = b + split
+        alone = split == len(side)
+        found = []
+        for k in range(0, split, STRIP):  # strips bound the memory of the product
+            from_ = k if alone else split
+            a, b = np.nonzero(unit[k : min(k + STRIP, split)] @ unit[from_:].T >= self.least)
+            a, b = a + k, b + from_
+            found.append(np.stack([a, b])[:, a < b])
+        a, b = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
         ok = (own[a] | own[b]) & (ids[a] != ids[b])
         a, b = a[ok], b[ok]
         if not len(a):
             return None
         dim = unit.shape[1]
         if dim not in self.hashers:
-            self.hashers[dim] = CrossPolytope(dim, *self.make)
+            self.hashers[dim] = CrossPolytope(dim, *self.shapes[dim])
         used, at = np.unique(np.concatenate([a, b]), return_inverse=True)
         codes = self.hashers[dim].buckets(unit[used])
         ca, cb = at[: len(a)], at[len(a) :]
@@ -155,13 +184,13 @@ class Block:
         return ids[rows], count[rows], ids[forest(len(ids), a, b)[rows]]
 
 
-def near_vectors(table: DataFrame, least: float = LEAST, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
+def near_vectors(table: DataFrame, least: float = LEAST, probes: int = PROBES, load: int = LOAD, block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of `table` (vec_id, embedding, any others).
 
     Links: vectors whose cosine is `least` or more. n_links: how many other vectors a vector is linked with directly;
     component_id: the least vec_id reachable, its own included; kept: vec_id = component_id. A vector that is null,
     empty, zero, or holds a null or non-finite part links with nothing, nor do vectors of different widths with each
-    other. Rows that share a vec_id are one vector with all their links. A row whose vec_id is null links with nothing, has a
+    other. Rows that share a vec_id are one vector with all their links; very long vectors are compared whole. A row whose vec_id is null links with nothing, has a
     null component_id and is kept. An empty table gives an empty result.
     """
     scratch = scratch or Scratch(table.sparkSession, "vectors")
@@ -173,6 +202,8 @@ def near_vectors(table: DataFrame, least: float = LEAST, tables: int = TABLES, h
     members = scratch.save(rows.select("vec_id", "h1", "h2").distinct(), "members")
     classes = scratch.save(members.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "classes")
     single = rows.join(classes.withColumnRenamed("rep", "vec_id"), ["vec_id", "h1", "h2"]).dropDuplicates(["vec_id", "h1", "h2"]).select("vec_id", "weight", "e")
+    # a row for each width that occurs; an embedding table has one or a few
+    shapes = {r["d"]: shape(r["n"], r["d"], probes, load) for r in rows.groupBy(F.size("e").alias("d")).agg(F.count("*").alias("n")).collect()}
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashers: dict[int, CrossPolytope] = {}
@@ -182,7 +213,7 @@ def near_vectors(table: DataFrame, least: float = LEAST, tables: int = TABLES, h
             widths = np.array([len(v) for v in vectors])
             for dim in np.unique(widths):
                 at = np.flatnonzero(widths == dim)
-                h = hashers.setdefault(int(dim), CrossPolytope(int(dim), tables, hashes, probes))
+                h = hashers.setdefault(int(dim), CrossPolytope(int(dim), *shapes[int(dim)]))
                 for i, c in zip(at, h.buckets(unit_rows(np.stack([vectors[i] for i in at]))), strict=True):
                     codes[i] = c.tolist()
             yield pa.RecordBatch.from_arrays([batch["vec_id"], batch["weight"], pa.array(widths.astype(np.int32)), pa.array([v.tobytes() for v in vectors], pa.binary()), pa.array(codes, pa.list_(pa.list_(pa.int64())))], names=["vec_id", "weight", "dim", "vec", "codes"])
@@ -192,6 +223,7 @@ def near_vectors(table: DataFrame, least: float = LEAST, tables: int = TABLES, h
     sent = coded.select("vec_id", "weight", "dim", "vec", by_table).select("*", F.col("c")[0].alias("mine"), F.explode(F.array_distinct("c")).alias("bucket")).withColumn("own", F.col("bucket") == F.col("mine")).drop("c", "mine")
     sizes = coded.select("dim", by_table).select("dim", "t", F.col("c")[0].alias("mine"), F.explode(F.array_distinct("c")).alias("bucket"))
     sizes = sizes.groupBy("dim", "t", "bucket").agg(F.count("*").alias("n"), F.max(F.col("bucket") == F.col("mine")).alias("any")).where("n > 1 and any").select("dim", "t", "bucket", F.ceil(F.col("n") / block).cast("int").alias("of"))
+    sizes = scratch.save(sizes, "sizes")  # written, so that the rows of a hot bucket can be split in the join
     key = ["dim", "t", "bucket", "i", "j"]
     dealt = sent.join(sizes, ["dim", "t", "bucket"]).withColumn("at", F.expr("pmod(xxhash64(vec_id), of)")).withColumn("other", F.explode(F.expr("sequence(0, of - 1)")))
     dealt = dealt.select("dim", "t", "bucket", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), F.when(F.col("at") > F.col("other"), 1).otherwise(0).alias("side"), "vec_id", "weight", "own", "vec")
@@ -202,17 +234,17 @@ def near_vectors(table: DataFrame, least: float = LEAST, tables: int = TABLES, h
         return out | {"unit": units(batch["vec"].to_pylist(), kind)}
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks = Block(least, tables, hashes, probes)
+        blocks = Block(least, shapes)
         for (_, t, bucket, *_), rows in array_runs(batches, key, arrays):
             found = blocks.links(t, bucket, *(rows[k] for k in ("vec_id", "weight", "own", "side")), np.stack(rows["unit"])) if len(rows["side"]) > 1 else None
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in found], names=["vec_id", "links", "other"])
 
     found = scratch.save(dealt.mapInArrow(linked, "vec_id long, links long, other long"), "links")
-    counts = found.groupBy("vec_id").agg(F.sum("links").alias("links")).withColumnRenamed("vec_id", "rep")
+    counts = scratch.save(found.groupBy("vec_id").agg(F.sum("links").alias("links")).withColumnRenamed("vec_id", "rep"), "counts")
     own = members.join(classes, ["h1", "h2"]).select("vec_id", "rep", (F.col("weight") - 1).alias("copies"))
     edges = found.where("vec_id <> other").select(F.col("vec_id").alias("u"), F.col("other").alias("v")).unionByName(own.where("vec_id <> rep").select(F.col("vec_id").alias("u"), F.col("rep").alias("v")))
-    labels = connected(edges, scratch)
+    labels = scratch.save(connected(edges, scratch), "labels")
     per = own.join(counts, "rep", "left").groupBy("vec_id").agg(F.sum(F.col("copies") + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = named.select("vec_id").join(per, "vec_id", "left").join(labels.withColumnRenamed("node", "vec_id"), "vec_id", "left")
     component = F.coalesce("component", "vec_id")
