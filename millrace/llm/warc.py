@@ -1,11 +1,12 @@
 """WARC archives: one gzip member per record, written by the tasks; a sequential reader with digest checks.
 
 Writing: payloads are grouped by SHA-1 with a partial aggregate that keeps the least id, so equal payloads are never
-gathered; the least id becomes a response, the others revisit it and carry no payload. Each task writes one archive
-under a temporary name and renames it, so a retried task replaces its file whole.
+gathered; the least id becomes a response, the others revisit it and carry no payload. Each attempt of a task writes an
+archive under a name of its own and never touches another's; the manifest, committed once for each task, names those
+that count, and what lost attempts left is removed after that.
 
 Reading: bytes stream through zlib member by member; a record is framed by its Content-Length; payload digests are
-verified while the payload is read. One task reads one archive from front to back.
+verified while the payload is read. A task reads an archive from front to back, and there is a task for each archive.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ CHUNK = 1 << 18
 LEVEL = 4
 #: Equal payloads of at least so many bytes are revisits of the first.
 LEAST_REVISIT = 0
+#: Reading tasks at most; beyond it a task reads several archives, one after the other.
+MOST_READERS = 100_000
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -168,33 +171,51 @@ def write(pages: DataFrame, folder: str, scratch: Scratch, payload: str = "html"
     """Writes `pages` (page_id, url, `payload`) to archives in `folder`; returns the written manifest (file, records)."""
     named = resolved(pages, payload)
     keys = scratch.save(named.select("page_id", "payload_bytes", "sha"), "keys")
-    firsts = keys.where(F.col("payload_bytes") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first")
+    # written before they are joined, so that pages with one common payload can be split over tasks
+    firsts = scratch.save(keys.where(F.col("payload_bytes") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first"), "firsts")
     # only pages that are not first need a look-up; their ids go to the page rows as a small left join
     revisits = keys.where(F.col("payload_bytes") >= least).join(firsts, "sha").where("page_id is not null and page_id <> first").select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), "first").distinct()
+    revisits = scratch.save(revisits, "revisits")
     rows = named.join(revisits, (F.col("page_id") == F.col("_id")) & (F.col("sha") == F.col("_sha")), "left")
     rows = rows.select("page_id", "url", F.when(F.col("_id").isNull(), F.col("body")).alias("body"), "payload_bytes", "sha", "first", F.col("_id").isNotNull().alias("revisit"))
 
+    run_id = uuid.uuid4().hex[:16]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, path = filesystem(folder)
-        part = TaskContext.get().partitionId()
-        name, hidden = f"part-{part:06d}.warc.gz", f".part-{part:06d}-{uuid.uuid4().hex}"
-        records, out = 0, None
-        for batch in batches:
-            if out is None and len(batch):
-                system.create_dir(path, recursive=True)
-                out = system.open_output_stream(f"{path}/{hidden}", compression=None)
-            for r in batch.to_pylist():
-                named = base64.b32encode(bytes.fromhex(r["sha"])).decode()
-                out.write(record(r["page_id"], r["url"], r["body"], r["payload_bytes"], named, r["first"], r["revisit"]))
-                records += 1
-        if out is not None:
-            out.close()
-            if system.get_file_info(f"{path}/{name}").is_file:  # an earlier attempt's; some file systems don't move over it
-                system.delete_file(f"{path}/{name}")
-            system.move(f"{path}/{hidden}", f"{path}/{name}")
-            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{name}"]), pa.array([records], pa.int64())], names=["file", "records"])
-
-    return scratch.save(rows.mapInArrow(run, "file string, records long"), "manifest")
+        if written := write_archive(batches, folder, run_id, TaskContext.get().partitionId()):
+            yield pa.RecordBatch.from_arrays([pa.array([written[0]]), pa.array([written[1]], pa.int64())], names=["file", "records"])
+
+    manifest = scratch.save(rows.mapInArrow(run, "file string, records long"), "manifest")
+    drop_lost(folder, run_id, manifest)
+    return manifest
+
+
+def write_archive(batches: Iterator[pa.RecordBatch], folder: str, run_id: str, part: int) -> tuple[str, int] | None:
+    """Writes the rows of a partition as an archive with a name that no other attempt has; (file, records), None without rows."""
+    system, path = filesystem(folder)
+    name, records, out = f"{run_id}-{part:06d}-{uuid.uuid4().hex}.warc.gz", 0, None
+    for batch in batches:
+        if out is None and len(batch):
+            system.create_dir(path, recursive=True)
+            out = system.open_output_stream(f"{path}/{name}", compression=None)
+        for r in batch.to_pylist():
+            out.write(record(r["page_id"], r["url"], r["body"], r["payload_bytes"], base64.b32encode(bytes.fromhex(r["sha"])).decode(), r["first"], r["revisit"]))
+            records += 1
+    if out is None:
+        return None
+    out.close()
+    return f"{folder}/{name}", records
+
+
+def drop_lost(folder: str, run_id: str, manifest: DataFrame) -> None:
+    """Removes archives of this run that the manifest doesn't name. Both lists have a name for each task or attempt."""
+    from pyarrow import fs
+
+    system, path = filesystem(folder)
+    named = {r["file"].rpartition("/")[2] for r in manifest.select("file").collect()}
+    for info in system.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+        if info.base_name.startswith(f"{run_id}-") and info.base_name not in named:
+            system.delete_file(info.path)
 
 
 def archived(manifest: DataFrame, payloads: bool = False) -> DataFrame:
@@ -227,7 +248,7 @@ def archived(manifest: DataFrame, payloads: bool = False) -> DataFrame:
         return pa.RecordBatch.from_arrays(arrays, names=names)
 
     files = manifest.select("file").distinct()
-    dealt = files.repartition(F.col("file"))
+    dealt = files.repartitionByRange(min(MOST_READERS, max(1, files.count())), "file")  # an archive to a task
     return dealt.mapInArrow(run, RECORDS + (", payload binary" if payloads else ""))
 
 
@@ -237,7 +258,9 @@ def round_trip(pages: DataFrame, folder: str | None = None, scratch: Scratch | N
     Columns: page_id, payload_bytes, payload_digest, record_type, refers_to. A null html is an empty payload; a null url
     is about:blank. Pages with equal payloads are grouped whatever their urls; the least page_id is the response.
     Repeated rows with one page_id and payload are alike: both responses or both revisits. A null page_id is always a
-    response and is never referred to. An empty table gives no archive and an empty result.
+    response and is never referred to. A very long page is one record, held by a task as a whole while it is written or
+    read. Of pages that tie in their payload the least page_id is the response. An empty table gives no archive and an
+    empty result.
     """
     scratch = scratch or Scratch(pages.sparkSession, "warc")
     return archived(write(pages, folder or scratch.path("archives"), scratch))
