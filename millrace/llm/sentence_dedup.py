@@ -149,7 +149,10 @@ def strip(text: str | None, again: list[int] | None, span: int = SPAN, least: in
 
 
 def repeats(docs: DataFrame, scratch: Scratch, span: int, least: int) -> DataFrame:
-    """(doc_id, text_hash, again): the numbers of the runs that came before, in this text or a smaller doc_id's."""
+    """(doc_id, half, again): the numbers of the runs that came before, in this text or a smaller doc_id's.
+
+    half: the lower 32 bits of the text's hash, as a signed number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -165,11 +168,17 @@ def repeats(docs: DataFrame, scratch: Scratch, span: int, least: int) -> DataFra
 
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").cast("string").alias("text"))
     table = scratch.save(rows.mapInArrow(run, "doc_id long, text_hash long, hashes array<long>, places array<int>, inside array<int>"), "runs")
-    spans = table.where("doc_id is not null").select("doc_id", "text_hash", F.explode(F.arrays_zip("hashes", "places")).alias("r")).select("doc_id", "text_hash", F.col("r.hashes").alias("h"), F.col("r.places").alias("place"))
+    # a run's place and half of its text's hash go as one number; rows of one doc_id are told apart by it
+    at = F.expr("shiftleft(text_hash, 32) | r.places").alias("at")
+    spans = table.where("doc_id is not null").select("doc_id", "text_hash", F.explode(F.arrays_zip("hashes", "places")).alias("r")).select("doc_id", F.col("r.hashes").alias("h"), at)
+    # written, so that the rows of a passage that very many texts share can be split over tasks in the join
     first = spans.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("h", "first")
-    later = spans.join(first, "h").where("doc_id > first").select("doc_id", "text_hash", "place")
-    inside = table.select("doc_id", "text_hash", F.explode("inside").alias("place"))
-    return later.unionByName(inside).groupBy("doc_id", "text_hash").agg(F.collect_set("place").alias("again"))
+    later = spans.join(scratch.save(first, "first"), "h").where("doc_id > first").select("doc_id", F.expr("shiftright(at, 32)").alias("half"), F.expr("at & 4294967295").cast("int").alias("place"))
+    inside = table.select("doc_id", F.expr("shiftright(shiftleft(text_hash, 32), 32)").alias("half"), F.explode("inside").alias("place"))
+    again = later.unionByName(inside).groupBy("doc_id", "half").agg(F.collect_set("place").alias("again"))
+    again = scratch.save(again, "again")
+    scratch.drop("runs")
+    return again
 
 
 def substring_dedup(docs: DataFrame, span: int = SPAN, least: int = LEAST_WORDS, scratch: Scratch | None = None, counts: bool = True) -> DataFrame:
@@ -178,14 +187,15 @@ def substring_dedup(docs: DataFrame, span: int = SPAN, least: int = LEAST_WORDS,
     n_chars, where there, becomes the new length of a changed text. Every row stays, even one left without text.
     A null text stays null. A row whose doc_id is null is only cleaned of repeats inside itself and is no first
     occurrence for others. Rows with the same doc_id are one document: they don't repeat each other. Other columns pass
-    through; one named n_removed is replaced. An empty table gives an empty result.
+    through; one named n_removed is replaced. Texts are cut whole, however long. Of runs that tie, the one with the least
+    doc_id, then the least place, stays. An empty table gives an empty result.
     """
     scratch = scratch or Scratch(docs.sparkSession, "sentences")
     names = [c for c in docs.columns if not (counts and c == "n_removed")]
     docs = docs.select(*named(names))
     at, digest, gone = (fresh(names, n) for n in ("_id", "_hash", "_gone"))
-    again = repeats(docs, scratch, span, least).select(F.col("doc_id").alias(at), F.col("text_hash").alias(digest), F.col("again").alias(gone))
-    both = docs.join(again, F.col("doc_id").cast("long").eqNullSafe(F.col(at)) & (F.xxhash64("text") == F.col(digest)), "left")
+    again = repeats(docs, scratch, span, least).select(F.col("doc_id").alias(at), F.col("half").alias(digest), F.col("again").alias(gone))
+    both = docs.join(again, F.col("doc_id").cast("long").eqNullSafe(F.col(at)) & (F.expr("shiftright(shiftleft(xxhash64(text), 32), 32)") == F.col(digest)), "left")
     schema = T.StructType([*docs.schema.fields, *([T.StructField("n_removed", T.LongType())] if counts else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
