@@ -1,9 +1,11 @@
 """Quality rules by cross-document line frequency.
 
-A line that many different texts of one host carry is boilerplate. Lines are normalised and hashed; the count for a
-(host, line) is of distinct texts, so exact copies of a document count once. A line above the limit is removed from
-every text but its first holder's (least doc_id), so what a page says first is never lost, and a document that is
-depleted by this is rejected. Base rules on the document itself come before that.
+A line that many documents of one host carry is boilerplate. Lines are normalised and hashed, and the distinct documents
+of each (host, line) are counted. Lines above the limits are removed from every document, and a document that is depleted
+by this is rejected. Base rules on the document itself come before that.
+
+Two parameters soften the count, both off by default: `copies_once` counts exact copies of a document once, so that a
+text isn't boilerplate for having been copied; `first_stays` leaves a line to the document of least doc_id that has it.
 """
 
 from __future__ import annotations
@@ -19,9 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, WordHashes, fresh, mapped, named, shared, words_of
 
-#: A line is boilerplate in more distinct texts of a host than this and than this share of the host's distinct texts.
-LEAST_TEXTS = 20
-SHARE = 0.002
+#: A line is boilerplate in more documents of a host than this and than this share of the host's documents.
+LEAST_DOCS = 5
+SHARE = 0.01
 #: A document is depleted if fewer words stay than this, or less than this share of its words.
 LEAST_WORDS = 25
 LEAST_SHARE = 0.4
@@ -83,28 +85,33 @@ def measured(docs: DataFrame, host: str, text: str = "text") -> DataFrame:
     return chosen.mapInArrow(run, "doc_id long, host string, text_hash long, " + ", ".join(f"{c} long" for c in STATS) + ", lines array<long>, line_words array<long>")
 
 
-def judged(docs: DataFrame, host: str = "source", scratch: Scratch | None = None, least_texts: int = LEAST_TEXTS, share: float = SHARE) -> DataFrame:
+def judged(docs: DataFrame, host: str = "source", scratch: Scratch | None = None, least_docs: int = LEAST_DOCS, share: float = SHARE, copies_once: bool = False, first_stays: bool = False) -> DataFrame:
     """(doc_id, text_hash, the base statistics, base_failed, removed_words, removed_lines, kept) for every row of `docs`.
 
     base_failed: n_words < 50, or 100 * n_repeat_words > 50 * n_words. kept: not base_failed, and after the removal of
     boilerplate lines at least 25 words and 40 % of the words stay. A null or empty text has no words and fails the
-    base. A null host is a host of its own. Rows with the same doc_id and text are one document and get the same
-    verdict; a row whose doc_id is null holds no line first. Extra columns are ignored; an empty table gives an empty
-    result.
+    base; a very long one is measured whole. A null host is a host of its own. Rows with the same doc_id and text are
+    one document and get the same verdict; rows without a doc_id are one document if their texts are the same. With
+    `first_stays`, all rows of the least doc_id that hold a line keep it, and one without a doc_id is never the first.
+    Extra columns are ignored; an empty table gives an empty result.
     """
     scratch = scratch or Scratch(docs.sparkSession, "lines")
     table = scratch.save(measured(docs, host), "measured")
-    lines = table.where("size(lines) > 0").select("doc_id", "text_hash", "host", F.posexplode("lines").alias("_at", "line"))
-    texts = table.groupBy("host", "text_hash").agg(F.lit(1).alias("_one")).groupBy("host").agg(F.count("*").alias("texts"))
-    # one row for each (host, line, text): copies of a text count once, and a hot line is dealt over its texts
-    single = lines.groupBy("host", "line", "text_hash").agg(F.min("doc_id").alias("first"))
-    counted = single.groupBy("host", "line").agg(F.count("*").alias("n"), F.min("first").alias("first")).where(F.col("n") > least_texts)
-    above = counted.join(texts.withColumnRenamed("host", "_host"), F.col("host").eqNullSafe(F.col("_host")))
-    hot = scratch.save(above.where(F.col("n") > share * F.col("texts")).select(F.col("_host").alias("hot_host"), F.col("line").alias("hot_line"), "first"), "hot")
+    document = ["text_hash"] if copies_once else ["doc_id", "_text"]
+    table_ = table.withColumn("_text", F.when(F.col("doc_id").isNull(), F.col("text_hash")))
+    lines = table_.where("size(lines) > 0").select("doc_id", "text_hash", "_text", "host", F.posexplode("lines").alias("_at", "line"))
+    documents = table_.groupBy("host", *document).agg(F.lit(1).alias("_one")).groupBy("host").agg(F.count("*").alias("documents"))
+    # one row for each (host, line, document), so a hot line is dealt over its documents before it is counted
+    single = lines.groupBy("host", "line", *document).agg(F.min("doc_id").alias("first"))
+    counted = single.groupBy("host", "line").agg(F.count("*").alias("n"), F.min("first").alias("first")).where(F.col("n") > least_docs)
+    above = counted.join(documents.withColumnRenamed("host", "_host"), F.col("host").eqNullSafe(F.col("_host")))
+    # written, so that Spark can split the rows of a hot line over tasks in the join below
+    hot = scratch.save(above.where(F.col("n") > share * F.col("documents")).select(F.col("_host").alias("hot_host"), F.col("line").alias("hot_line"), "first"), "hot")
 
     hit = lines.join(hot, F.col("host").eqNullSafe(F.col("hot_host")) & (F.col("line") == F.col("hot_line")))
-    hit = hit.where("first is null or doc_id is null or doc_id <> first").select("doc_id", "text_hash", "_at", "line")
-    gone = hit.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("removed_lines"))
+    if first_stays:
+        hit = hit.where("first is null or doc_id is null or doc_id <> first")
+    gone = scratch.save(hit.groupBy("doc_id", "text_hash").agg(F.collect_set("line").alias("removed_lines")), "gone")
     out = table.alias("t").join(gone.alias("g"), F.expr("t.doc_id <=> g.doc_id and t.text_hash = g.text_hash"), "left")
     removed = F.expr("aggregate(zip_with(lines, line_words, (l, w) -> if(array_contains(removed_lines, l), w, 0L)), 0L, (a, x) -> a + x)")
     out = out.select("t.doc_id", "t.text_hash", *STATS, F.when(F.col("removed_lines").isNull(), F.lit(0)).otherwise(removed).cast("long").alias("removed_words"), "removed_lines")
@@ -114,7 +121,12 @@ def judged(docs: DataFrame, host: str = "source", scratch: Scratch | None = None
 
 
 def cleaned(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """The kept rows of `docs` without their boilerplate lines, in the columns of `docs`; n_chars, if there, follows."""
+    """The kept rows of `docs` without their boilerplate lines, in the columns of `docs`; n_chars, if there, follows.
+
+    `verdicts`: judged() of the same rows. Rows are matched by doc_id, null or not, and text; repeated rows stay as
+    often as they occur. Null and empty texts are never kept, very long ones are rewritten whole. Extra columns pass
+    through whatever their names; an empty table gives an empty result.
+    """
     types, names = docs.schema, docs.columns
     own, at, digest, gone = (fresh(names, n) for n in ("_own", "_id", "_hash", "_gone"))
     v = verdicts.where("kept").select(F.col("doc_id").alias(at), F.col("text_hash").alias(digest), F.col("removed_lines").alias(gone)).dropDuplicates([at, digest])

@@ -79,9 +79,9 @@ r AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i +
 l AS (SELECT doc_id, source, text, line, {_WORDS.format('line')} AS lw FROM (SELECT doc_id, source, text, unnest(string_split(text, chr(10))) AS line FROM d)),
 ll AS (SELECT *, regexp_replace({_LOWER.format("array_to_string(lw, ' ')")}, '[0-9]+', '0', 'g') AS norm FROM l WHERE len(lw) > 0),
 dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n FROM ll GROUP BY doc_id),
-hosts AS (SELECT source, count(DISTINCT text) AS texts FROM d GROUP BY source),
-hot AS (SELECT c.* FROM (SELECT source, norm, count(DISTINCT text) AS n, min(doc_id) AS first FROM ll GROUP BY source, norm) c JOIN hosts h ON h.source IS NOT DISTINCT FROM c.source WHERE c.n > {line_rules.LEAST_TEXTS} AND c.n > {line_rules.SHARE} * h.texts),
-gone AS (SELECT ll.doc_id, sum(len(lw)) AS n FROM ll JOIN hot ON hot.source IS NOT DISTINCT FROM ll.source AND hot.norm = ll.norm WHERE ll.doc_id <> hot.first GROUP BY ll.doc_id),
+hosts AS (SELECT source, count(DISTINCT doc_id) AS docs FROM d GROUP BY source),
+hot AS (SELECT c.* FROM (SELECT source, norm, count(DISTINCT doc_id) AS n FROM ll GROUP BY source, norm) c JOIN hosts h ON h.source IS NOT DISTINCT FROM c.source WHERE c.n > {line_rules.LEAST_DOCS} AND c.n > {line_rules.SHARE} * h.docs),
+gone AS (SELECT ll.doc_id, sum(len(lw)) AS n FROM ll JOIN hot ON hot.source IS NOT DISTINCT FROM ll.source AND hot.norm = ll.norm GROUP BY ll.doc_id),
 s AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
   CAST(len(regexp_extract_all(coalesce(d.text, ''), '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(gone.n, 0) AS BIGINT) AS removed_words
   FROM d LEFT JOIN r USING (doc_id) LEFT JOIN dup USING (doc_id) LEFT JOIN gone USING (doc_id))
