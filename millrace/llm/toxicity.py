@@ -1,9 +1,9 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams (McMahan et al. 2013).
 
 Fitting takes a bounded sample of labelled rows (`FIT_ROWS`, those with the least hash of doc_id, so the same rows at
-any partitioning) through one task, a row at a time: per-coordinate rates, L1 sparsity. The weights that come back are
-at most 2**bits pairs of numbers, mostly far fewer; that bound is what makes them fit to broadcast. Scoring is one pass
-over all texts without a shuffle.
+any partitioning) through one task, a row at a time: per-coordinate rates, L1 sparsity. That task holds the examples'
+coordinates as bytes, at most `FIT_BYTES` of them. The weights that come back are at most 2**bits pairs of numbers, mostly
+far fewer; that bound is what makes them fit to broadcast. Scoring is one pass over all texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ from pyspark.sql import types as T
 
 from .common import GOLDEN, MIX_1, U64, WordHashes, importable, mapped, named, shared
 
-BITS = 18
+BITS = 20
 FIT_ROWS = 30_000
+#: Of the sample's coordinates, two or four bytes each; examples beyond teach nothing.
+FIT_BYTES = 192 << 20
 THRESHOLD = 0.7
 #: What surrounds letters and digits in a word; ASCII only, so that accented letters stay.
 EDGES = re.compile(rb"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$")
@@ -77,16 +79,16 @@ class Features:
     def of(self, text: str | None) -> np.ndarray:
         return np.unique(self.all(text))
 
-    def logit(self, text: str | None, dense: np.ndarray) -> float:
-        """Sum of the weights of the text's coordinates; only those with a weight are sorted out."""
+    def logit(self, text: str | None, dense: np.ndarray, used: np.ndarray) -> float:
+        """Sum of the weights of the text's coordinates; only those with a weight (`used`) are sorted out."""
         at = self.all(text)
-        return float(dense[np.unique(at[dense[at] != 0])].sum())
+        return float(dense[np.unique(at[used[at]])].sum())
 
 
 class Ftrl:
     """One pass or more over examples; the state is two vectors of 2**bits."""
 
-    def __init__(self, bits: int = BITS, alpha: float = 2.0, beta: float = 1.0, l1: float = 6.0, l2: float = 1.0):
+    def __init__(self, bits: int = BITS, alpha: float = 2.0, beta: float = 1.0, l1: float = 4.0, l2: float = 1.0):
         self.bits, self.alpha, self.beta, self.l1, self.l2 = bits, alpha, beta, l1, l2
         self.z, self.n = np.zeros((1 << bits) + 1), np.zeros((1 << bits) + 1)  # the last one is the bias
 
@@ -109,6 +111,37 @@ class Ftrl:
         return Weights(at, w[at], float(w[-1]), self.bits)
 
 
+def packed(at: np.ndarray) -> bytes:
+    """Coordinates in ascending order as the steps between them, of two or four bytes."""
+    steps = np.diff(at, prepend=0)
+    size = 2 if steps.max(initial=0) < 1 << 16 else 4
+    return bytes([size]) + steps.astype(f"<u{size}").tobytes()
+
+
+def unpacked(data) -> np.ndarray:
+    view = memoryview(data)
+    return np.cumsum(np.frombuffer(view[1:], f"<u{view[0]}"), dtype=np.int64)
+
+
+def learn(batches: Iterator[pa.RecordBatch], model: Ftrl, passes: int, room: int) -> Iterator[pa.RecordBatch]:
+    """The weights, as one row, after `passes` over the examples (at: packed coordinates, label), of `room` bytes at most.
+
+    The coordinates stay where Arrow has them and are unpacked one example at a time.
+    """
+    held = []
+    for batch in batches:
+        held.append((batch["at"], batch["label"].to_pylist()))
+        room -= batch["at"].nbytes
+        if room < 0:
+            break
+    for _ in range(passes):
+        for coordinates, labels in held:
+            for at, label in zip(coordinates, labels, strict=True):
+                model.learn(unpacked(at.as_buffer()), label)
+    w = model.result()
+    yield pa.RecordBatch.from_arrays([pa.array([w.at.astype(np.int64).tobytes()]), pa.array([w.value.tobytes()]), pa.array([w.bias])], names=["at", "value", "bias"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, where: str = "true", bits: int = BITS, rows: int = FIT_ROWS, passes: int = 2) -> Weights:
     """Weights from at most `rows` labelled documents for which `where` (over doc_id) holds.
 
@@ -126,19 +159,13 @@ def fit(docs: DataFrame, labels: DataFrame, where: str = "true", bits: int = BIT
     def coordinates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(bits)
         for batch in batches:
-            at = [features.of(t).astype(np.int32) for t in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(at, pa.list_(pa.int32())), batch["label"]], names=["doc_id", "at", "label"])
+            at = [packed(features.of(t)) for t in batch["text"].to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(at, pa.binary()), batch["label"]], names=["doc_id", "at", "label"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Ftrl(bits)
-        examples = [(np.asarray(a, np.int32), y) for b in batches for a, y in zip((x.values.to_numpy() for x in b["at"]), b["label"].to_pylist(), strict=True)]
-        for _ in range(passes):
-            for at, label in examples:
-                model.learn(at, label)
-        w = model.result()
-        yield pa.RecordBatch.from_arrays([pa.array([w.at.astype(np.int64).tobytes()]), pa.array([w.value.tobytes()]), pa.array([w.bias])], names=["at", "value", "bias"])
-
-    seen = chosen.mapInArrow(coordinates, "doc_id long, at array<int>, label int")
+        return learn(batches, Ftrl(bits), passes, FIT_BYTES)
+
+    seen = chosen.mapInArrow(coordinates, "doc_id long, at binary, label int")
     one = seen.repartition(1).sortWithinPartitions(order, "doc_id", "at").select("at", "label").mapInArrow(train, "at binary, value binary, bias double").first()
     if one is None:
         return Weights(np.array([], np.int64), np.array([]), 0.0, bits)
@@ -159,8 +186,9 @@ def score(docs: DataFrame, weights: Weights, threshold: float = THRESHOLD, names
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = sent.value
         dense, features = w.dense(), Features(w.bits)
+        used = dense != 0
         for batch in batches:
-            logits = np.array([features.logit(t, dense) + w.bias for t in batch["text"].to_pylist()])
+            logits = np.array([features.logit(t, dense, used) + w.bias for t in batch["text"].to_pylist()])
             p = 1 / (1 + np.exp(-np.clip(logits, -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*batch.schema.names, *names])
 
@@ -175,7 +203,10 @@ def held_out(column: str = "doc_id") -> str:
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, fit_rows: int = FIT_ROWS) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of `docs` (doc_id, text, others), whole texts.
 
-    Learns from the labels outside the held-out third. A null doc_id is not held out. Repeated rows score alike.
+    Learns from the labels outside the held-out third. A null doc_id is not held out and teaches nothing. A null or empty
+    text scores by the bias alone; a very long one is read whole. Repeated rows score alike, and of labels that differ
+    for one doc_id the greatest counts. Extra columns are ignored, whatever their names. An empty table gives an empty
+    result; without labels every score is 0.5.
     """
     weights = fit(docs, labels, f"not ({held_out()})", rows=fit_rows)
     out = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), weights, threshold)

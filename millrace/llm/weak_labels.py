@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import GOLDEN, MIX_1, U64, WordHashes, importable, shared
-from .toxicity import Ftrl, Weights
+from .toxicity import FIT_BYTES, Ftrl, Weights, learn, packed
 
 BITS = 18
 FIT_ROWS = 20_000
@@ -182,10 +182,10 @@ def label_model(docs: DataFrame) -> tuple[LabelModel, dict[int, float]]:
 
 
 def fit(docs: DataFrame, posteriors: dict[int, float], bits: int = BITS, rows: int = FIT_ROWS, passes: int = 2) -> Weights:
-    """Weights of the scorer from the posteriors of at most `rows` texts: those with the least hash of doc_id and text."""
+    """Weights of the scorer from the posteriors of at most `rows` different texts: those with the least hash of doc_id and text."""
     order = F.xxhash64("doc_id", "text_hash")
     named = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    cut = named.select(order.alias("o")).orderBy("o").limit(rows).agg(F.max("o")).first()[0]
+    cut = named.select(order.alias("o")).distinct().orderBy("o").limit(rows).agg(F.max("o")).first()[0]
     if cut is None:
         return Weights(np.array([], np.int64), np.array([]), 0.0, bits)
     sent = docs.sparkSession.sparkContext.broadcast(posteriors)
@@ -195,18 +195,12 @@ def fit(docs: DataFrame, posteriors: dict[int, float], bits: int = BITS, rows: i
         for batch in batches:
             found = [features.of(t) for t in batch["text"].to_pylist()]
             label = [sent.value.get(pattern(v), 0.5) for _, v in found]
-            yield pa.RecordBatch.from_arrays([batch["o"], pa.array([a.astype(np.int32) for a, _ in found], pa.list_(pa.int32())), pa.array(label, pa.float64())], names=["o", "at", "label"])
+            yield pa.RecordBatch.from_arrays([batch["o"], pa.array([packed(a) for a, _ in found], pa.binary()), pa.array(label, pa.float64())], names=["o", "at", "label"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = Ftrl(bits, alpha=0.5, l1=2.0)
-        examples = [(np.asarray(a, np.int32), y) for b in batches for a, y in zip((x.values.to_numpy() for x in b["at"]), b["label"].to_pylist(), strict=True)][:rows]
-        for _ in range(passes):
-            for at, label in examples:
-                model.learn(at, label)
-        w = model.result()
-        yield pa.RecordBatch.from_arrays([pa.array([w.at.astype(np.int64).tobytes()]), pa.array([w.value.tobytes()]), pa.array([w.bias])], names=["at", "value", "bias"])
-
-    sample = named.withColumn("o", order).where(F.col("o") <= cut).select("o", "text").mapInArrow(coordinates, "o long, at array<int>, label double")
+        return learn(batches, Ftrl(bits, alpha=0.5, l1=2.0), passes, FIT_BYTES)
+
+    sample = named.withColumn("o", order).where(F.col("o") <= cut).select("o", "text").dropDuplicates(["o"]).mapInArrow(coordinates, "o long, at binary, label double")
     one = sample.repartition(1).sortWithinPartitions("o", "at").select("at", "label").mapInArrow(train, "at binary, value binary, bias double").first()
     return Weights(np.frombuffer(one.at, np.int64), np.frombuffer(one.value), one.bias, bits)
 
@@ -215,8 +209,9 @@ def quality(docs: DataFrame, threshold: float = THRESHOLD, fit_rows: int = FIT_R
     """(doc_id, score, posterior, kept) for every row of `docs` (doc_id, text, others): score is P(good), 0 to 1.
 
     posterior: what the labellers alone say. kept: score >= threshold. A null or empty text has no words: it gets a
-    score like any other, and the labellers call it bad. Repeated rows score alike; a null doc_id stays null. Extra columns
-    are ignored; an empty table gives an empty result.
+    score like any other, and the labellers call it bad. A very long text is read whole. Repeated rows score alike; a
+    null doc_id stays null. Rows that tie at the end of the fitted sample (equal doc_id and text) are alike, and those
+    beyond `fit_rows` teach nothing more. Extra columns are ignored; an empty table gives an empty result.
     """
     _, posteriors = label_model(docs)
     sent = docs.sparkSession.sparkContext.broadcast((fit(docs, posteriors, rows=fit_rows), posteriors))
