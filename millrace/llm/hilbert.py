@@ -1,10 +1,11 @@
 """Sharding along a Hilbert curve over several metadata dimensions.
 
-Each dimension is quantised to a few bits; a row's cell is its place on the Hilbert curve through the grid (Skilling's
-transform, 2004). Rows are ordered by cell and the order is cut into runs of equal row counts, one per shard. Rows that
-are near in all dimensions are near on the curve, so a shard's files cover a small box and a filter on any dimension
-skips most of them. Cells are bounded (2**(bits * dimensions)), so their counts are broadcast; a cell with very many
-rows is ranked in several buckets.
+Each dimension is quantised to a few bits, in its own order; a row's cell is its place on the Hilbert curve through the
+grid (Skilling's transform, 2004). Rows are ordered by cell and the order is cut into runs of equal row counts, one per
+shard. Rows that are near in all dimensions are near on the curve, so a shard's files cover a small box and a filter on
+any dimension skips most of them. Names are quantised by rank: cells are cut where equal shares of the rows end, and
+the cuts (15 names at 4 bits) are all that the driver gets. Cells are bounded (2**(bits * dimensions)), so their
+counts are broadcast; a cell with very many rows is ranked in several buckets.
 """
 
 from __future__ import annotations
@@ -17,9 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import Scratch, ranked
+from .common import Scratch, fresh, named, ranked
 
 BITS = 4
+#: Bits of a cell's place at most, which bound the number of cells that are counted and broadcast.
+MOST_BITS = 20
 
 
 def curve_index(coordinates: np.ndarray, bits: int) -> np.ndarray:
@@ -50,9 +53,34 @@ def curve_index(coordinates: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def by_hash(column: str, bits: int = BITS) -> Column:
-    """Cell of a name: equal names meet; null is a name of its own."""
-    return F.expr(f"pmod(xxhash64({column}), {1 << bits})").cast("int")
+def name_cuts(rows: DataFrame, column: str, scratch: Scratch, bits: int = BITS) -> list[tuple[str, int]]:
+    """(name, cell): the names in ascending order, 2**bits - 1 at most, at which a new cell begins.
+
+    A cell stands for its share of the rows: its number is how many of 2**bits equal shares come before the name.
+
+    Names are counted with a partial aggregate and sorted over range partitions; sums go over one row for each
+    partition. Nulls have no place among them.
+    """
+    counts = rows.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("name")).agg(F.count("*").alias("n"))
+    ordered = scratch.save(counts.repartitionByRange("name").withColumn("part", F.spark_partition_id()), f"names-{column}")
+    totals = {r["part"]: r["n"] for r in ordered.groupBy("part").agg(F.sum("n").alias("n")).collect()}
+    if not totals:
+        return []
+    before, seen = {}, 0
+    for part in sorted(totals):
+        before[part], seen = seen, seen + totals[part]
+    spark = rows.sparkSession
+    starts = spark.createDataFrame(list(before.items()), "part INT, start BIGINT")
+    own = F.sum("n").over(Window.partitionBy("part").orderBy("name")) - F.col("n")
+    placed = ordered.join(F.broadcast(starts), "part").withColumn("from", F.col("start") + own)
+    cells = 1 << bits
+    first = placed.withColumn("cell", F.expr(f"({cells} * from + {seen - 1}) div {seen}")).where(f"cell * {seen} < {cells} * (from + n)")
+    return sorted((r["name"], r["cell"]) for r in first.groupBy("cell").agg(F.min("name").alias("name")).where("cell > 0").collect())
+
+
+def by_rank(column: str, cuts: list[tuple[str, int]]) -> Column:
+    """Cell of a name: that of the last cut that doesn't come after it. Null and names before the first are in cell 0."""
+    return F.greatest(F.lit(0), F.lit(0), *(F.when(F.col(column) >= F.lit(name), F.lit(cell)) for name, cell in cuts)).cast("int")
 
 
 def by_size(column: str, least: float = 16, bits: int = BITS) -> Column:
@@ -72,8 +100,11 @@ def sharded(rows: DataFrame, cells: list[Column], shards: int, order: list[str],
     """`rows` with shard (0 to shards - 1) and slot (place in the shard, from 0).
 
     Row counts of shards differ by one at most. Order: curve index, then hash bucket and `order` within it; rows alike
-    in `order` take neighbouring places in any order. Rows are written once before ranking, so pass narrow rows.
+    in `order` take neighbouring places in any order. Rows are written once before ranking, so pass narrow rows. Null
+    cells are an error, as are more than MOST_BITS bits in all. An empty table gives an empty result.
     """
+    if bits * len(cells) > MOST_BITS:
+        raise ValueError(f"{len(cells)} dimensions of {bits} bits make more than 2**{MOST_BITS} cells")
     scratch = scratch or Scratch(rows.sparkSession, "hilbert")
     names = rows.columns
     grid = rows.select("*", F.array(*cells).alias("_cells"))
@@ -97,17 +128,18 @@ def sharded(rows: DataFrame, cells: list[Column], shards: int, order: list[str],
 def shard_documents(docs: DataFrame, shards: int = 8, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard, curve) for every row of `docs`.
 
-    Dimensions: language, source, size, and text (a hash, so that equal texts with equal metadata lie together).
-    size: UTF-8 bytes of the text plus 1, 1 for a null text, whose text_crc32 is null. Any column may be null; repeated
-    rows each have a place. law is `rows`: counts differ by one at most. Extra columns are ignored; a missing lang or
-    source counts as null. An empty table gives an empty result.
+    Dimensions: language, source, size. Within a cell equal texts lie together unless the cell has very many rows.
+    size: UTF-8 bytes of the text plus 1, 1 for a null text, whose text_crc32 is null; a very long text is one row like
+    any other. Any column may be null; repeated rows each have a place, and rows that tie in text and doc_id take
+    theirs in the order in which they are written. law is `rows`: counts differ by one at most. Extra columns are
+    ignored; a missing lang or source counts as null. An empty table gives an empty result.
     """
+    scratch = scratch or Scratch(docs.sparkSession, "hilbert")
     for c in ("lang", "source"):
-        if c not in docs.columns:
-            docs = docs.withColumn(c, F.lit(None).cast("string"))
+        docs = docs.withColumn(c, F.col(c).cast("string") if c in docs.columns else F.lit(None).cast("string"))
     text = F.col("text").cast("string")
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.octet_length(text).cast("long"), F.lit(0)).alias("_bytes"), F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"), F.xxhash64(text).alias("_text"), "lang", "source")
-    cells = [by_hash("lang"), by_hash("source"), by_size("_bytes"), by_hash("_text")]
+    cells = [*(by_rank(c, name_cuts(docs, c, scratch)) for c in ("lang", "source")), by_size("_bytes")]
     out = sharded(narrow.select("doc_id", (F.col("_bytes") + 1).alias("size"), "_bytes", "text_crc32", "_text", "lang", "source"), cells, shards, ["_text", "doc_id"], scratch=scratch)
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
 
@@ -115,9 +147,14 @@ def shard_documents(docs: DataFrame, shards: int = 8, scratch: Scratch | None =
 def write_shards(docs: DataFrame, placed: DataFrame, folder: str) -> None:
     """`docs` as Parquet under folder/shard=N, each file in curve order, so that file and row-group ranges prune.
 
-    `placed`: shard_documents(docs). Rows are matched by doc_id and text; documents without a doc_id are matched too.
+    `placed`: shard_documents(docs). Rows are matched by doc_id, null or not, and text, null, empty or very long; rows
+    that repeat in both all go to the least shard of theirs. Extra columns are written too, but for those named shard
+    or curve. An empty table writes no file.
     """
-    keys = placed.select(F.col("doc_id").alias("_id"), F.col("text_crc32").alias("_crc"), F.col("size").alias("_size"), "shard", "curve").dropDuplicates(["_id", "_crc", "_size"])
+    docs = docs.drop("shard", "curve")
+    at, crc, size, to = (fresh(docs.columns, n) for n in ("_id", "_crc", "_size", "_to"))
+    keys = placed.select(F.col("doc_id").alias(at), F.col("text_crc32").alias(crc), F.col("size").alias(size), F.struct("shard", "curve").alias(to))
+    keys = keys.groupBy(at, crc, size).agg(F.min(to).alias(to)).select(at, crc, size, f"{to}.*")
     text = F.col("text").cast("string")
-    both = docs.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.crc32(F.encode(text, "UTF-8")).eqNullSafe(F.col("_crc")) & (F.coalesce(F.octet_length(text), F.lit(0)) + 1 == F.col("_size")))
-    both.repartitionByRange("shard", "curve").sortWithinPartitions("shard", "curve").drop("_id", "_crc", "_size", "curve").write.partitionBy("shard").parquet(folder)
+    both = docs.join(keys, F.col("doc_id").cast("long").eqNullSafe(F.col(at)) & F.crc32(F.encode(text, "UTF-8")).eqNullSafe(F.col(crc)) & (F.coalesce(F.octet_length(text), F.lit(0)) + 1 == F.col(size)))
+    both.repartitionByRange("shard", "curve").sortWithinPartitions("shard", "curve").select(*named(docs.columns), "shard").write.partitionBy("shard").parquet(folder)
