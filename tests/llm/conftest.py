@@ -23,7 +23,7 @@ def odd_docs(spark):
         (2, "the same id, another text entirely", "en", "a", 3),
     ]
     df = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
-    extra = {c: "x" for c in ("rank", "length", "score", "predicted", "key", "component", "_id", "_hash", "_starts", "_gone", "n_removed", "curve", "host", "a.b")}
+    extra = {c: "x" for c in ("shard", "rank", "length", "score", "predicted", "key", "component", "_id", "_hash", "_starts", "_gone", "n_removed", "curve", "host", "a.b")}
     from pyspark.sql import functions as F
 
     return df.select("*", *[F.lit(v).alias(k) for k, v in extra.items()])

@@ -55,7 +55,7 @@ def test_minhash_blocks_pass_over_no_link():
     assert (blocks.hasher.signature(sets["a"]) == blocks.hasher.signature(sets["b"])).mean() < 0.63
     blocks.hasher.shingles = sets.__getitem__
     for other, links in (("b", [(1, 2)]), ("c", [])):
-        rows = pa.table({"doc_id": [1, 2], "side": [0, 0], "component": [1, 2], "text": ["a", other]})
+        rows = pa.table({"doc_id": [1, 2], "side": [0, 0], "component": [1, 2], "low": [True, True], "text": ["a", other]})
         assert blocks.links(rows) == links
 
 
@@ -123,13 +123,40 @@ def test_line_rules(spark, odd_docs, no_docs):
     docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING")
     verdicts = line_rules.judged(docs)
     got = {r.doc_id: (r.removed_words, r.kept) for r in verdicts.collect()}
-    assert got[0] == (0, True), "the first holder keeps the line"
-    assert all(got[d] == (3, True) for d in range(1, 60)) and not any(got[100 + d][1] for d in range(40))
+    assert all(got[d] == (3, True) for d in range(60)) and not any(got[100 + d][1] for d in range(40))
     cleaned = {r.doc_id: r.text for r in line_rules.cleaned(docs, verdicts).collect()}
-    assert cleaned[0].startswith("Shared") and cleaned[5] == body[5] and set(cleaned) == set(range(60))
+    assert cleaned == {d: body[d] for d in range(60)}
+    soft = {r.doc_id: r.removed_words for r in line_rules.judged(docs, first_stays=True).collect()}
+    assert soft[0] == 0 and all(soft[d] == 3 for d in range(1, 60)), "the first holder keeps the line"
+    # 30 copies of a document of lines that no other has: documents count, or texts with `copies_once`
+    copies = docs.unionByName(spark.createDataFrame([(200 + d, body[0].replace(" ", "\n"), "h") for d in range(30)], docs.schema))
+    assert not any(r.kept for r in line_rules.judged(copies).collect() if r.doc_id >= 200)
+    assert all(r.kept for r in line_rules.judged(copies, copies_once=True).collect() if r.doc_id >= 200)
     assert line_rules.cleaned(odd_docs, line_rules.judged(odd_docs)).columns == odd_docs.columns
 
 
+def test_line_rules_against_sql(spark, tmp_path):
+    """On rows of which boilerplate lines are removed and depleted documents rejected, the query gives what its SQL gives."""
+    import duckdb
+
+    from millrace.llm import queries
+
+    rng = np.random.default_rng(8)
+    words = [f"x{c}" for c in "abcdefghijklmnop"]
+    prose = lambda n: " ".join(rng.choice(words, n)) + f" end{'abcdefghij'[rng.integers(10)]}"
+    shared = [prose(12) for _ in range(6)]
+    rows = [(d, "\n".join([*rng.choice(shared, 1 + d % 6), *(prose(9) for _ in range(d % 9))]), f"h{d % 2}") for d in range(120)]
+    rows += [(200 + d, rows[7][1], "h0") for d in range(9)] + [(300, None, None), (301, "", "h1")]
+    spark.createDataFrame(rows, "doc_id BIGINT, text STRING, source STRING").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op7_line_frequency_rules(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    expected = con.sql(queries.OP7_SQL).df()[got.columns].sort_values("doc_id").values.tolist()
+    found = got.toPandas().sort_values("doc_id").values.tolist()
+    assert found == expected
+    assert sum(r[-2] > 0 for r in found) > 50 and sum(not r[-1] and not r[-3] for r in found) > 10
+
+
 def test_packing(spark, odd_docs, no_docs, small):
     from tokenizers import Tokenizer
 
@@ -233,11 +260,66 @@ def test_hilbert(spark, odd_docs, no_docs, tmp_path):
     assert max(counts) - min(counts) <= 1
     assert [(r.size, r.text_crc32) for r in rows if r.doc_id == 5] == [(1, None)]
     assert hilbert.shard_documents(no_docs).count() == 0
+    with pytest.raises(ValueError):
+        hilbert.sharded(odd_docs, [hilbert.by_size("n_chars")] * 6, 8, ["doc_id"])
+    hilbert.write_shards(odd_docs, hilbert.shard_documents(odd_docs), f"{tmp_path}/odd")
+    assert spark.read.parquet(f"{tmp_path}/odd").count() == odd_docs.count()
     plain = odd_docs.select("doc_id", "text", "lang", "source")
     hilbert.write_shards(plain, hilbert.shard_documents(plain), f"{tmp_path}/shards")
     assert spark.read.parquet(f"{tmp_path}/shards").count() == plain.count()
 
 
+def test_hilbert_against_sorting(spark):
+    """The query's cells, shards and slots against plain counting and sorting of all rows of a small table."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.selectExpr("doc_id", "lang", "source", "coalesce(octet_length(text), 0) AS bytes").collect()
+
+    def cells(names):
+        ordered, total = sorted(names), len(names)
+        start = {n: i for i, n in reversed(list(enumerate(ordered)))}
+        out, cell = {}, 0
+        for name in sorted(start):
+            end = start[name] + ordered.count(name)
+            share = -(-16 * start[name] // total)
+            cell = share if share * total < 16 * end else cell
+            out[name] = cell
+        return out
+
+    lang, source = cells([r.lang for r in rows]), cells([r.source for r in rows])
+    place = {}
+    for r in rows:
+        size = min(15, max(0, int(np.floor(np.log2(r.bytes / 16))) + 1)) if r.bytes else 0
+        place[r.doc_id] = int(hilbert.curve_index(np.array([[lang[r.lang], source[r.source], size]]), 4)[0])
+    got = hilbert.shard_documents(docs).collect()
+    assert {r.doc_id: r.curve for r in got} == place
+    order = sorted(place.values())
+    n = len(order)
+    for r in got:
+        at = r.shard * n // 8 + r.slot
+        assert order[at] == r.curve, "a row's place is that of its cell in the sorted order"
+
+
+def test_shards_prune(spark):
+    """Of the 8 shards, filters on language, source or size have to read far fewer than if rows lay at random."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = hilbert.shard_documents(docs).join(docs.select("doc_id", "lang", "source"), "doc_id").collect()
+
+    def read(shard_of):
+        boxes = {}
+        for r in rows:
+            boxes.setdefault(shard_of(r), []).append(r)
+        share = []
+        for key in (lambda r: r.lang, lambda r: r.source, lambda r: r.size.bit_length()):
+            ranges = [(min(map(key, b)), max(map(key, b))) for b in boxes.values()]
+            values = {key(r) for r in rows}
+            share.append(np.mean([sum(lo <= v <= hi for lo, hi in ranges) / 8 for v in values]))
+        return share
+
+    mine, chance = read(lambda r: r.shard), read(lambda r: zlib.crc32(str(r.doc_id).encode()) % 8)
+    print("read", mine, chance)
+    assert all(a < 0.75 * b for a, b in zip(mine, chance, strict=True)), (mine, chance)
+
+
 def test_toxicity(spark, odd_docs, no_docs):
     words = ["vile", "grim", "calm", "blue", "tree", "sand", "wolf", "rain"]
     rng = np.random.default_rng(3)
