@@ -10,7 +10,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import VIEWS
+
 DAY = 86_400_000_000
+UTC_MIDNIGHT = "CAST(CAST(convert_timezone('UTC', CAST(current_timestamp() AS TIMESTAMP_NTZ)) AS DATE) AS TIMESTAMP_NTZ)"
 
 
 def _col(c: Column | str) -> Column:
@@ -26,8 +29,8 @@ def age_parts(later: Column | str, earlier: Column | str) -> dict[str, Column]:
     swap = a < b
     hi, lo = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
 
-    def time(x: Column) -> Column:
-        return (F.unix_micros(x.cast("timestamp")) - F.unix_micros(F.date_trunc("day", x).cast("timestamp"))).cast("long")
+    def time(x: Column) -> Column:  # of the day, by the clock alone: no zone has a say
+        return ((F.hour(x) * 3600 + F.minute(x) * 60).cast("long") * 1_000_000 + (F.extract(F.lit("SECOND"), x) * 1_000_000).cast("long"))
 
     micros = time(hi) - time(lo)
     borrow_day = micros < 0
@@ -44,7 +47,7 @@ def age_parts(later: Column | str, earlier: Column | str) -> dict[str, Column]:
 def age(later: Column | str, earlier: Column | str | None = None) -> Column:
     """age(a, b) as an interval; with one argument from midnight UTC of today."""
     if earlier is None:
-        later, earlier = F.date_trunc("day", F.current_timestamp()).cast("timestamp_ntz"), later
+        later, earlier = F.expr(UTC_MIDNIGHT), later
     p = age_parts(later, earlier)
     return F.make_interval(months=p["months"].cast("int"), days=p["days"].cast("int"), secs=(p["micros"] / 1_000_000).cast("decimal(18,6)"))
 
@@ -79,7 +82,7 @@ def register(spark: SparkSession, clock: Clock, txid: int) -> None:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {text}")
     xid = "CAST(greatest(least(CAST(a AS DECIMAL(20,0)) - CAST(b AS DECIMAL(20,0)), 9223372036854775807), -9223372036854775808) AS BIGINT)"
     spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION age_xid(a BIGINT, b BIGINT) RETURNS BIGINT RETURN {xid}")
-    time = "(unix_micros(CAST({0} AS TIMESTAMP)) - unix_micros(CAST(date_trunc('DAY', {0}) AS TIMESTAMP)))"
+    time = "(CAST(hour({0}) * 3600 + minute({0}) * 60 AS BIGINT) * 1000000 + CAST(extract(SECOND FROM {0}) * 1000000 AS BIGINT))"
     hi, lo = "(CASE WHEN a < b THEN b ELSE a END)", "(CASE WHEN a < b THEN a ELSE b END)"
     micros = f"({time.format(hi)} - {time.format(lo)})"
     days = f"(day({hi}) - day({lo}) - CAST({micros} < 0 AS INT))"
@@ -99,8 +102,10 @@ def _intervals(spark: SparkSession) -> bool:
 
 
 def rewrite(sql: str) -> str:
-    """Drops the pg_catalog prefix and turns generate_series(a, b) in FROM into range(a, b + 1)."""
+    """Drops the pg_catalog prefix, names the catalogue's views as Spark has them, turns generate_series(a, b) into range(a, b + 1)."""
     out = re.sub(r"\bpg_catalog\s*\.\s*(?=(?:age|txid_current|pg_postmaster_start_time|pg_is_in_recovery)\s*\()", "", sql, flags=re.I)
+    for name, view in VIEWS.items():
+        out = re.sub(rf"\b{name.replace('.', r'\s*\.\s*')}\b", view, out, flags=re.I)
     return re.sub(r"\bgenerate_series\s*\(([^(),]+),([^(),]+)\)", r"range(\1, (\2) + 1)", out, flags=re.I)
 
 
@@ -113,7 +118,7 @@ def rewrite_age(sql: str, of_ids: bool, txid: int) -> str:
 
     With one argument from the current id, or from midnight UTC of today. Texts in quotes are left alone.
     """
-    first = f"{int(txid)}L" if of_ids else "CAST(date_trunc('DAY', current_timestamp()) AS TIMESTAMP_NTZ)"
+    first = f"{int(txid)}L" if of_ids else UTC_MIDNIGHT
     out, at = [], 0
     for m in re.finditer(r"'(?:[^']|'')*'|\bage\s*\(", sql, flags=re.I):
         if m.group().startswith("'") or m.start() < at:

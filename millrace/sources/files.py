@@ -41,9 +41,12 @@ def information_schema(store: Store) -> tuple[DataFrame, DataFrame]:
     )
 
 
-def register_views(store: Store) -> None:
-    """Temporary views information_schema_tables and information_schema_columns."""
-    tables, columns = information_schema(store)
-    tables.createOrReplaceTempView("information_schema_tables")
-    columns.createOrReplaceTempView("information_schema_columns")
+#: How catalogue views are named in SQL, and in Spark, whose names of views have no schema.
+VIEWS = {"information_schema.tables": "information_schema_tables", "information_schema.columns": "information_schema_columns"}
 
+
+def register_views(store: Store, sql: str) -> None:
+    """The catalogue as temporary views, if a query names one of them."""
+    if "information_schema" in sql.lower():
+        for view, rows in zip(VIEWS.values(), information_schema(store), strict=True):
+            rows.createOrReplaceTempView(view)
