@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import constraints
 from .errors import LIMIT, UNSUPPORTED, EngineError
-from .meta import Index, Table
+from .meta import Index, Table, validated
 from .statements import Bounds
 from .store import File, Snapshot, Store
 from .types import literal
@@ -21,8 +27,10 @@ def within(key: str, bounds: Bounds) -> Column:
 
 def touched(snapshot: Snapshot, bounds: Bounds) -> tuple[tuple[File, ...], tuple[File, ...]]:
     """(files whose key range meets the bounds, the others)."""
-    hit = tuple(f for f in snapshot.files if not bounds.empty and f.high >= bounds.low and f.low <= bounds.high)
-    return hit, tuple(f for f in snapshot.files if f not in hit)
+    hit, rest = [], []
+    for f in snapshot.files:
+        (hit if not bounds.empty and f.high >= bounds.low and f.low <= bounds.high else rest).append(f)
+    return tuple(hit), tuple(rest)
 
 
 def raise_conflicts(store: Store, snapshot: Snapshot, rows: DataFrame) -> None:
@@ -39,17 +47,28 @@ def raise_conflicts(store: Store, snapshot: Snapshot, rows: DataFrame) -> None:
             constraints.raise_duplicates(rows, store.read(snapshot), list(index.keys), index.name)
 
 
-def insert(store: Store, snapshot: Snapshot, rows: DataFrame) -> tuple[Snapshot, int]:
-    """Appends rows: defaults, checks and uniqueness first, all or nothing. Returns the new snapshot and the row count."""
-    table = snapshot.table
+@contextmanager
+def landed(store: Store, rows: DataFrame, table: Table) -> Iterator[DataFrame]:
+    """`rows` with defaults, written and read back: what is checked is what is stored, though the source be read twice."""
     for c in rows.columns:
         table.column(c)
-    ready = constraints.checked(constraints.completed(rows, table), table).persist()
+    full = constraints.completed(rows, table)
+    full = full.select(*[F.col(f.name).cast(table.column(f.name).kind.spark) if isinstance(f.dataType, T.NullType) else F.col(f.name) for f in full.schema])
+    folder = f"{store.folder}/{table.name}/staging/{uuid.uuid4().hex}"
+    full.write.parquet(folder)
     try:
+        yield store.spark.read.schema(full.schema).parquet(folder)
+    finally:
+        store.fs.delete(store._path(folder), True)
+
+
+def insert(store: Store, snapshot: Snapshot, rows: DataFrame) -> tuple[Snapshot, int]:
+    """Appends rows: defaults, checks and uniqueness first, all or nothing. Returns the new snapshot and the row count."""
+    table = snapshot.table
+    with landed(store, rows, table) as given:
+        ready = constraints.checked(given, table)
         raise_conflicts(store, snapshot, ready)
         files = store.write(ready, table)
-    finally:
-        ready.unpersist()
     return store.commit(Snapshot(snapshot.version, table, snapshot.files + files)), sum(f.rows for f in files)
 
 
@@ -61,8 +80,8 @@ def upsert_rows(base: DataFrame, new: DataFrame, key: str) -> DataFrame:
 def upsert(store: Store, snapshot: Snapshot, rows: DataFrame) -> tuple[Snapshot, int]:
     """Insert or replace by primary key."""
     table = snapshot.table
-    ready = constraints.checked(constraints.completed(rows, table), table).persist()
-    try:
+    with landed(store, rows, table) as given:
+        ready = constraints.checked(given, table)
         constraints.raise_duplicates(ready, None, [table.key], table.key)
         edge = ready.agg(F.min(table.key).alias("low"), F.max(table.key).alias("high"), F.count("*").alias("n")).first()
         if not edge.n:
@@ -73,8 +92,6 @@ def upsert(store: Store, snapshot: Snapshot, rows: DataFrame) -> tuple[Snapshot,
             if index.unique:
                 constraints.raise_duplicates(merged.unionByName(store.read(snapshot, rest)), None, list(index.keys), index.name)
         files = store.write(merged, table)
-    finally:
-        ready.unpersist()
     return store.commit(Snapshot(snapshot.version, table, rest + files)), edge.n
 
 
@@ -135,38 +152,54 @@ def delete(store: Store, snapshot: Snapshot, bounds: Bounds, limit: int = MOST_R
 
 
 def tombstone(store: Store, snapshot: Snapshot, keys: DataFrame) -> Snapshot:
-    """Removes rows by a table of keys, unconditionally."""
+    """Removes rows by a table of keys, unconditionally. Only files that hold one of the keys are rewritten."""
     table = snapshot.table
-    rows = store.read(snapshot).join(keys.select(table.key), table.key, "left_anti")
-    return store.commit(Snapshot(snapshot.version, table, store.write(rows, table)))
+    gone = keys.select(F.col(table.key).cast("long").alias(table.key)).where(F.col(table.key).isNotNull())
+    edge = gone.agg(F.min(table.key).alias("low"), F.max(table.key).alias("high")).first()
+    if edge.low is None:
+        return snapshot
+    near, _ = touched(snapshot, Bounds(edge.low, edge.high))
+    holding = set()
+    if near:
+        found = store.read(snapshot, near).select(table.key, F.input_file_name().alias("_file")).join(gone, table.key, "left_semi")
+        holding = {r["_file"] for r in found.select("_file").distinct().collect()}  # a row for each file at most
+    hit = tuple(f for f in near if f.path in holding)
+    if not hit:
+        return snapshot
+    files = store.write(store.read(snapshot, hit).join(gone, table.key, "left_anti"), table, files=len(hit))
+    return store.commit(Snapshot(snapshot.version, table, tuple(f for f in snapshot.files if f.path not in holding) + files))
+
+
+def apply_if(store: Store, snapshot: Snapshot, rows: DataFrame, expected: DataFrame) -> tuple[Snapshot, DataFrame]:
+    """Upserts `rows` if every key's present row is the one the writer saw; else writes nothing.
+
+    expected: the rows the writer saw, one for each key of `rows` that was there; a key without one must be absent. Returns
+    the new snapshot and the keys in conflict; with any, the snapshot is the old one.
+    """
+    table = snapshot.table
+    names = [c.name for c in table.columns]
+    now = store.read(snapshot).join(rows.select(table.key), table.key, "left_semi").select(table.key, F.struct(*names).alias("_now"))
+    seen = expected.select(table.key, F.struct(*[F.col(c.name).cast(c.kind.spark).alias(c.name) for c in table.columns]).alias("_seen"))
+    keys = rows.select(table.key).distinct()
+    conflicts = keys.join(now, table.key, "left").join(seen, table.key, "left").where(~F.col("_now").eqNullSafe(F.col("_seen"))).select(table.key)
+    if not conflicts.isEmpty():
+        return snapshot, conflicts
+    return upsert(store, snapshot, rows)[0], conflicts
 
 
 def redistribute(store: Store, snapshot: Snapshot, distribution: str, buckets: int | None) -> Snapshot:
     """Rewrites a table with another distribution of its key and swaps the snapshot at once."""
-    from dataclasses import replace
-
-    from .meta import validated
-
     table = validated(replace(snapshot.table, distribution=distribution, buckets=buckets))
     files = store.write(store.read(snapshot), table) if snapshot.files else ()
     return store.commit(Snapshot(snapshot.version, table, files))
 
 
-def projection(store: Store, snapshot: Snapshot, index: Index) -> DataFrame:
-    """The rows of an index: keys, included columns and the primary key."""
-    table = snapshot.table
-    names = dict.fromkeys([*index.keys, *index.include, table.key])
-    return store.read(snapshot).select(*names)
-
-
 def create_index(store: Store, snapshot: Snapshot, index: Index) -> Snapshot:
-    """Backfills an index as a Parquet projection sorted by its keys, then publishes it.
+    """Backfills an index as a projection of each data file, sorted by its keys, then publishes it.
 
-    The first commit shows the index as write-only, so writers already keep it unique; the second makes it public. A
-    backfill that finds duplicates drops the index again.
+    The first commit shows the index as write-only, so writers already keep it unique and current; the second makes it
+    public. If the backfill fails, for duplicates or for any other reason, the index is dropped again.
     """
-    from dataclasses import replace
-
     table = snapshot.table
     for c in (*index.keys, *index.include):
         table.column(c)
@@ -174,22 +207,8 @@ def create_index(store: Store, snapshot: Snapshot, index: Index) -> Snapshot:
     try:
         if index.unique:
             constraints.raise_duplicates(store.read(now), None, list(index.keys), index.name)
-        rows = projection(store, now, index)
-        dealt = rows.repartition(index.buckets, *index.keys) if index.using == "hash" else rows.repartitionByRange(*index.keys)
-        dealt.sortWithinPartitions(*index.keys).write.mode("overwrite").parquet(index_folder(store, table.name, index.name, now.version))
-    except EngineError:
+        files = store.project(now.files, table, index)
+        return store.commit(Snapshot(now.version, now.table.with_index(replace(index, state="public")), files))
+    except Exception:
         store.commit(Snapshot(now.version, now.table.without_index(index.name), now.files))
         raise
-    return store.commit(Snapshot(now.version, now.table.with_index(replace(index, state="public")), now.files))
-
-
-def index_folder(store: Store, table: str, index: str, version: int) -> str:
-    return f"{store.folder}/{table}/indexes/{index}-{version:012d}"
-
-
-def read_index(store: Store, snapshot: Snapshot, index: Index) -> DataFrame:
-    """The index's rows at this snapshot: the written projection if no rows changed since, else derived."""
-    folder = index_folder(store, snapshot.table.name, index.name, snapshot.version - 1)
-    if store.fs.exists(store._path(f"{folder}/_SUCCESS")):
-        return store.spark.read.parquet(folder)
-    return projection(store, snapshot, index)

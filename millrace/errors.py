@@ -6,7 +6,7 @@ from __future__ import annotations
 UNSUPPORTED = "0A000"
 OUT_OF_RANGE, INVALID_VALUE = "22003", "22023"
 NOT_NULL, UNIQUE, CHECK = "23502", "23505", "23514"
-NO_TRANSACTION, ABORTED = "25P01", "25P02"
+ABORTED = "25P02"
 CONFLICT = "40001"
 SYNTAX, DUPLICATE_COLUMN, UNKNOWN_COLUMN, DUPLICATE_OBJECT, WRONG_TYPE, UNKNOWN_OBJECT = "42601", "42701", "42703", "42710", "42804", "42704"
 UNKNOWN_TABLE, DUPLICATE_TABLE = "42P01", "42P07"

@@ -43,8 +43,12 @@ class Index:
     buckets: int | None = None
     state: str = "write_only"  # write_only, then public
 
+    def columns(self, key: str) -> list[str]:
+        """What the index holds: its keys, the included columns, the table's key."""
+        return list(dict.fromkeys([*self.keys, *self.include, key]))
+
     def covers(self, columns: set[str], key: str) -> bool:
-        return columns <= {*self.keys, *self.include, key}
+        return columns <= set(self.columns(key))
 
 
 @dataclass(frozen=True)
@@ -57,6 +61,8 @@ class Table:
     buckets: int | None = None
     indexes: tuple[Index, ...] = field(default=())
     schema_version: int = SCHEMA_VERSION
+    #: The last batch of each stream that writes here, by its checkpoint.
+    batches: dict = field(default_factory=dict, hash=False)
 
     def column(self, name: str) -> Column:
         for c in self.columns:
@@ -88,6 +94,7 @@ class Table:
             data.get("distribution", "range"),
             data.get("buckets"),
             tuple(Index(**{**i, "keys": tuple(i["keys"]), "include": tuple(i["include"])}) for i in data.get("indexes", ())),
+            batches=data.get("batches", {}),
         )
 
 

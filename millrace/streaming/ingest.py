@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,15 +13,18 @@ from ..store import Store
 
 
 def ingest(stream: DataFrame, store: Store, table: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Inserts each micro-batch as one snapshot, all or nothing. A batch that ran already is upserted, so a restart repeats nothing."""
-    first = {"run": True}
+    """Inserts each micro-batch as one snapshot, all or nothing; a key that exists already stops the stream with 23505.
+
+    The manifest of a batch records the stream (its checkpoint) and the batch's number with the rows, so a batch that
+    is delivered again after a restart is known and skipped.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         snapshot = store.snapshot(table)
-        if first.pop("run", False):
-            dml.upsert(store, snapshot, batch)
-        else:
-            dml.insert(store, snapshot, batch)
+        if snapshot.table.batches.get(checkpoint, -1) >= number:
+            return
+        marked = replace(snapshot.table, batches=snapshot.table.batches | {checkpoint: number})
+        dml.insert(store, replace(snapshot, table=marked), batch)
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
