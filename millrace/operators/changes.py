@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from .. import constraints, dml
 from ..meta import Check, Column, Table
 from ..session import latest
 from ..statements import Bounds
+from ..store import Store
 from ..types import out_of_range
+from . import indexed
 from .registry import Registry
 
 R = Registry()
@@ -83,12 +87,19 @@ def w11_delete_pk_range(t):
     return base(t).where(~dml.within("order_id", Bounds(50, 400)))
 
 
-@q("SELECT count(*) AS conflicts FROM orders WHERE o_orderstatus = 'P' AND o_orderkey % 3 <> 0")
-def w15_conditional_write_conflicts(t):
-    """Rows whose stored version (key mod 3) is not the one the writer expects (0)."""
-    held = t("orders").selectExpr("o_orderkey AS k", "o_orderkey % 3 AS version")
-    wanted = t("orders").where("o_orderstatus = 'P'").selectExpr("o_orderkey AS k", "0 AS expected")
-    return wanted.join(held, "k", "left").where(~F.col("version").eqNullSafe(F.col("expected"))).agg(F.count("*").alias("conflicts"))
+@q("SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 3 = 0 THEN 'W' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey <= 60 UNION ALL SELECT -1, count(*), 'conflicts' FROM orders WHERE o_orderkey <= 60 AND o_orderkey % 5 = 0")
+def w15_conditional_write(t):
+    """A conditional write that saw the present rows applies; one that saw other values of every fifth key writes nothing."""
+    store = Store(t.spark, indexed.folder(t.spark))
+    table = replace(indexed.ORDERS, name="some")
+    snapshot, _ = dml.insert(store, store.create(table), indexed.typed(t("orders").where("o_orderkey <= 60")))
+    seen = store.read(snapshot)
+    wanted = seen.where("o_orderkey % 3 = 0").withColumn("o_orderstatus", F.lit("W"))
+    snapshot, _ = dml.apply_if(store, snapshot, wanted, seen.where("o_orderkey % 3 = 0"))
+    stale = store.read(snapshot).withColumn("o_custkey", F.expr("if(o_orderkey % 5 = 0, o_custkey + 1, o_custkey)"))
+    after, conflicts = dml.apply_if(store, snapshot, stale.withColumn("o_orderstatus", F.lit("X")), stale)
+    out = store.read(after).select("o_orderkey", "o_custkey", "o_orderstatus")
+    return out.unionByName(conflicts.agg(F.count("*").alias("o_custkey")).select(F.lit(-1).cast("long").alias("o_orderkey"), "o_custkey", F.lit("conflicts").alias("o_orderstatus")))
 
 
 @q("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, TRY_CAST(event_type AS BIGINT) AS bad, event_id % 300 BETWEEN -128 AND 127 AS fits_byte FROM events")
@@ -101,7 +112,9 @@ FACTS_BYTE = Column("b", "int8").kind
 
 @q(f"SELECT * FROM ({BASE}) b WHERE order_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '5%')")
 def w19_tombstones(t):
-    return base(t).join(t("orders").where("o_orderpriority LIKE '5%'").selectExpr("o_orderkey AS order_id"), "order_id", "left_anti")
+    store = Store(t.spark, indexed.folder(t.spark))
+    snapshot, _ = dml.insert(store, store.create(FACTS), base(t))
+    return store.read(dml.tombstone(store, snapshot, t("orders").where("o_orderpriority LIKE '5%'").selectExpr("o_orderkey AS order_id")))
 
 
 @q(f"SELECT order_id, customer_id, status, total_cents FROM ({BASE}) b")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import statements as st
 from ..functions import pg
-from ..plans import advisor, explain
+from ..plans import explain
+from . import indexed
 from .registry import Registry
 
 R = Registry()
@@ -113,19 +115,16 @@ def x3_explain_json(t):
     return explain.explain(_topk(t), dist=True, as_json=True)
 
 
-@q()
+@q("SELECT 'covered' AS query, 'index_only' AS kind, 'by_status' AS index, count(*) AS n FROM orders WHERE o_orderstatus = 'P' UNION ALL SELECT 'narrow', 'index_only', 'by_customer', count(*) FROM orders WHERE o_custkey = 10 UNION ALL SELECT 'wide', 'table', NULL, count(*) FROM orders WHERE o_totalprice > 0")
 def x5_access_path(t):
-    """The advisor's statistics of orders and its choice for two predicates, as rows."""
-    from ..meta import Column, Index, Table
-
-    table = Table("orders", (Column("o_orderkey", "int64", False), Column("o_custkey", "int64"), Column("o_orderstatus", "utf8"), Column("o_orderpriority", "utf8")), "o_orderkey", indexes=(Index("by_customer", ("o_custkey",), ("o_orderstatus",), state="public"), Index("by_status", ("o_orderstatus",), state="public")))
-    orders = t("orders")
-    stats = advisor.collect(orders, orders.count(), [c.name for c in table.columns])
+    """How a session reads an indexed table for three queries, and what each of them counts."""
+    s = indexed.orders(t)
     rows = []
-    for name, conjuncts, needed in (("selective", [("o_custkey", "=", 10)], {"o_orderstatus"}), ("wide", [("o_orderstatus", "in", ["F", "O"])], {"o_custkey"})):
-        path = advisor.choose(table, advisor.summarise(conjuncts), stats, needed)
-        rows.append((name, path.kind, path.index, float(path.cost)))
-    return t.spark.createDataFrame(rows, "query STRING, kind STRING, index STRING, cost DOUBLE")
+    for name, where in (("covered", "o_orderstatus = 'P'"), ("narrow", "o_custkey = 10"), ("wide", "o_totalprice > 0")):
+        df, paths = s.planned(st.Query(f"SELECT count(*) AS n FROM orders WHERE {where}"))
+        path = paths["orders"]
+        rows.append((name, path.kind, path.index.name if path.index else None, df.first()["n"]))
+    return t.spark.createDataFrame(rows, "query STRING, kind STRING, index STRING, n BIGINT")
 
 
 @q("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..sources.generators import generate_series, values
+from . import indexed
 from .registry import Registry
 
 R = Registry()
@@ -48,19 +49,21 @@ def s6_fixed_layout_scan(t):
 
 @q("SELECT o.o_orderkey, o.o_custkey, o.o_totalprice FROM orders o WHERE o.o_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')")
 def s9_index_lookup_semijoin(t):
-    index = t("orders").select("o_orderstatus", "o_orderpriority", "o_orderkey")
-    keys = index.where("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'").select("o_orderkey")
-    return t("orders").join(keys, "o_orderkey", "left_semi").select("o_orderkey", "o_custkey", "o_totalprice")
+    """The index gives the keys, the table their rows."""
+    store = indexed.orders(t).store
+    orders = store.snapshot("orders")
+    keys = store.read_index(orders, indexed.INDEXES[0]).where("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'").select("o_orderkey")
+    return store.read(orders).join(keys, "o_orderkey", "left_semi").select("o_orderkey", "o_custkey", "o_totalprice")
 
 
 @q("SELECT o_orderstatus, o_orderdate, o_orderkey FROM orders WHERE o_orderstatus = 'F'")
 def s10_index_only_scan(t):
-    return t("orders").where("o_orderstatus = 'F'").select("o_orderstatus", "o_orderdate", "o_orderkey")
+    return indexed.orders(t).sql("SELECT o_orderstatus, o_orderdate, o_orderkey FROM orders WHERE o_orderstatus = 'F'")
 
 
 @q("SELECT o_orderstatus, o_orderdate, o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderstatus, o_orderdate, o_orderkey LIMIT 25")
 def s11_ordered_index_scan(t):
-    return t("orders").where("o_orderstatus = 'O'").select("o_orderstatus", "o_orderdate", "o_orderkey").orderBy("o_orderstatus", "o_orderdate", "o_orderkey").limit(25)
+    return indexed.orders(t).sql("SELECT o_orderstatus, o_orderdate, o_orderkey FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderstatus, o_orderdate, o_orderkey LIMIT 25")
 
 
 @q("SELECT event_id, event_type, user_id FROM events WHERE event_type IN ('click', 'view') AND user_id IN (1, 2, 3, 5, 8, 13)")
