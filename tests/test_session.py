@@ -4,9 +4,12 @@ import random
 
 import pytest
 
+from millrace import dml
 from millrace.errors import EngineError
-from millrace.plans import advisor
-from millrace.session import Session
+from millrace.functions import pg
+from millrace.meta import Table
+from millrace.session import Admission, Session
+from millrace.sources import files
 from millrace.store import Store
 
 from .test_statements import DDL
@@ -27,41 +30,44 @@ def test_defaults_and_checks(session):
     s = session.sql
     s(DDL)
     assert state(s, DDL) == "42P07"
-    assert s("INSERT INTO metric_defaults (metric_id) VALUES (1)") == 1
-    assert s("INSERT INTO metric_defaults (metric_id, status, sample_count) VALUES (2, 'x', 5)") == 1
-    assert state(s, "INSERT INTO metric_defaults (metric_id, sample_count) VALUES (3, -1)") == "23514"
-    assert state(s, "INSERT INTO metric_defaults (metric_id, status) VALUES (3, NULL)") == "23502"
-    assert state(s, "INSERT INTO metric_defaults (metric_id) VALUES (1)") == "23505"
-    assert state(s, "INSERT INTO metric_defaults (metric_id) VALUES (7), (7)") == "23505"
-    assert state(s, "INSERT INTO metric_defaults (nope) VALUES (7)") == "42703"
-    assert state(s, "UPDATE metric_defaults SET sample_count = -5 WHERE metric_id = 1") == "23514"
-    assert state(s, "UPDATE metric_defaults SET sample_count = 5") == "0A000"
-    assert state(s, "UPDATE metric_defaults SET metric_id = 5 WHERE metric_id = 1") == "0A000"
-    assert state(s, "DELETE FROM metric_defaults WHERE status = 'x'") == "0A000"
-    assert state(s, "DELETE FROM nothing WHERE id = 1") == "42P01"
-    rows = s("SELECT metric_id, status, sample_count, created_at IS NOT NULL AS c FROM metric_defaults ORDER BY 1").collect()
-    assert [tuple(r) for r in rows] == [(1, "new", 0, True), (2, "x", 5, True)]
+    assert s("INSERT INTO harvest (crate) VALUES (10)") == 1
+    assert s("INSERT INTO harvest (crate, grade, kilos) VALUES (11, 'fine', 40)") == 1
+    for values, expected in (("(crate, kilos) VALUES (12, 2)", "23514"), ("(crate, grade) VALUES (12, NULL)", "23502"), ("(crate) VALUES (10)", "23505"), ("(crate) VALUES (14), (14)", "23505"), ("(weight) VALUES (14)", "42703")):
+        assert state(s, f"INSERT INTO harvest {values}") == expected, values
+    for change, expected in (("UPDATE harvest SET kilos = 1 WHERE crate = 10", "23514"), ("UPDATE harvest SET kilos = 50", "0A000"), ("UPDATE harvest SET crate = 3 WHERE crate = 10", "0A000"), ("DELETE FROM harvest WHERE grade = 'fine'", "0A000"), ("DELETE FROM orchard WHERE tree = 1", "42P01")):
+        assert state(s, change) == expected, change
+    rows = s("SELECT crate, grade, kilos, picked IS NOT NULL AS p FROM harvest ORDER BY 1").collect()
+    assert [tuple(r) for r in rows] == [(10, "raw", 12, True), (11, "fine", 40, True)]
 
 
 def test_unsigned_is_exact(session):
+    """Values beyond what a double tells apart, at both ends of each unsigned type's range."""
     s = session.sql
-    s("CREATE TABLE u (id BIGINT PRIMARY KEY, counter BIGINT UNSIGNED NOT NULL DEFAULT 18446744073709551614, CHECK (counter > 9007199254740992))")
-    s("INSERT INTO u (id, counter) VALUES (1, 18446744073709551615)")
-    s("INSERT INTO u (id) VALUES (2)")
-    assert [int(r[0]) for r in s("SELECT counter FROM u ORDER BY id").collect()] == [2**64 - 1, 2**64 - 2]
-    assert state(s, "INSERT INTO u VALUES (3, -1)") == "22023"
-    assert state(s, "INSERT INTO u VALUES (3, 18446744073709551616)") == "22023"
-    assert state(s, "INSERT INTO u VALUES (3, 5)") == "23514"
+    s("CREATE TABLE gauges (g BIGINT PRIMARY KEY, ticks BIGINT UNSIGNED NOT NULL DEFAULT 9223372036854775809)")
+    top = 2**64 - 1
+    s(f"INSERT INTO gauges (g, ticks) VALUES (5, {top}), (6, {top - 2}), (7, 0)")
+    s("INSERT INTO gauges (g) VALUES (8)")
+    assert [int(r[0]) for r in s("SELECT ticks FROM gauges ORDER BY g").collect()] == [top, top - 2, 0, 2**63 + 1]
+    for value in (-1, top + 1):
+        assert state(s, f"INSERT INTO gauges VALUES (9, {value})") == "22023"
+
+
+def test_integer_range_and_missing_parameters(session):
+    s = session.sql
+    s("CREATE TABLE small (id BIGINT PRIMARY KEY, n SMALLINT)")
+    assert state(s, "INSERT INTO small SELECT 1, 40000") == "22003"
+    assert state(s, "SELECT $2 + 1", [1]) == "42601"
+    assert s("SELECT count(*) FROM small").first()[0] == 0
 
 
 def test_insert_select_series_and_parameters(session):
     s = session.sql
-    s("CREATE TABLE f (order_id BIGINT PRIMARY KEY, merchant_id BIGINT NOT NULL, amount_cents BIGINT NOT NULL)")
+    s("CREATE TABLE tickets (ticket BIGINT PRIMARY KEY, gate BIGINT NOT NULL, cents BIGINT NOT NULL)")
     for _ in range(2):
-        s("INSERT INTO f WITH o AS (SELECT coalesce(max(order_id), 0) AS top FROM f) SELECT o.top + g.id, 1 + g.id % 20, 100 + (g.id * 37) % 20000 FROM o CROSS JOIN generate_series(1, 200) AS g")
-    assert s("SELECT max(order_id) FROM f").first()[0] == 400
-    assert s("SELECT count(*) FROM f WHERE merchant_id = $1 AND order_id <= $2", [3, 200]).first()[0] == 10
-    assert state(s, "INSERT INTO f SELECT 5, 1, 1") == "23505"
+        s("INSERT INTO tickets WITH last AS (SELECT coalesce(max(ticket), 1000) AS n FROM tickets) SELECT last.n + k.id, k.id % 6, 250 * (k.id % 11) FROM last CROSS JOIN generate_series(1, 90) AS k")
+    assert s("SELECT max(ticket) FROM tickets").first()[0] == 1180
+    assert s("SELECT count(*) FROM tickets WHERE gate = $1 AND ticket <= $2", [3, 1090]).first()[0] == 15
+    assert state(s, "INSERT INTO tickets SELECT 1005, 1, 1") == "23505"
 
 
 def test_unique_index(session):
@@ -129,13 +135,24 @@ def test_random_changes_match_a_dict(session):
     assert {r.id: r.v for r in s("SELECT * FROM r").collect()} == model
 
 
-def test_age_by_type(session):
-    s = session.sql
-    assert s("SELECT pg_catalog.age(10, 3) AS d").first()[0] == 7
-    text = "SELECT CAST(age(TIMESTAMP_NTZ'2024-03-31 01:00:00', TIMESTAMP_NTZ'2024-02-28 02:00:00') AS STRING) AS d, 'age(1)' AS t"
-    assert tuple(s(text).first()) == ("1 months 2 days 23 hours", "age(1)")
-    assert s("SELECT age(NULL, TIMESTAMP_NTZ'2024-02-28') IS NULL AS n, age(current_timestamp()::timestamp_ntz) IS NOT NULL AS d").first()[0]
-    assert s("SELECT txid_current() - age(0) AS z").first()[0] == 0
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York", "Europe/Berlin", "Africa/Cairo"])
+def test_age_by_type(session, spark, zone):
+    s, before = session.sql, spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        assert s("SELECT pg_catalog.age(10, 3) AS d").first()[0] == 7
+        text = "SELECT CAST(age(TIMESTAMP_NTZ'2024-03-31 01:00:00', TIMESTAMP_NTZ'2024-02-28 02:00:00') AS STRING) AS d, 'age(1)' AS t"
+        assert tuple(s(text).first()) == ("1 months 2 days 23 hours", "age(1)")
+        for day in ("2024-03-10", "2024-03-31", "2024-04-26"):  # clocks change in one of the zones
+            rows = spark.sql(f"SELECT TIMESTAMP_NTZ'{day} 10:00:00' AS a, TIMESTAMP_NTZ'{day} 10:00:00' - INTERVAL 1 DAY AS b")
+            assert rows.select(pg.age("a", "b").cast("string")).first()[0] == "1 days"
+            assert s(f"SELECT CAST(age(TIMESTAMP_NTZ'{day} 10:00:00.5', TIMESTAMP_NTZ'{day} 00:30:00') AS STRING) AS d").first()[0] == "9 hours 30 minutes 0.5 seconds"
+        assert s("SELECT age(NULL, TIMESTAMP_NTZ'2024-02-28') IS NULL AS n").first()[0]
+        today = s("SELECT CAST(age(CAST(CAST(convert_timezone('UTC', current_timestamp()::timestamp_ntz) AS DATE) AS TIMESTAMP_NTZ)) AS STRING) AS d").first()[0]
+        assert today == "0 seconds", "midnight of today by UTC is where age starts"
+        assert s("SELECT txid_current() - age(0) AS z").first()[0] == 0
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
 
 
 def test_explain_and_admission(session):
@@ -143,24 +160,158 @@ def test_explain_and_admission(session):
     rows = s("EXPLAIN (DIST) SELECT id % 3 AS k, count(*) FROM range(100) GROUP BY 1 ORDER BY 2 DESC LIMIT 2").collect()
     assert {"partial aggregate", "final aggregate", "exchange"} <= {r.operator for r in rows}
     assert '"rows": 100' in s("EXPLAIN (ANALYZE, FORMAT JSON) SELECT * FROM range(100)").first()[0]
+    s("CREATE TABLE paths (id BIGINT PRIMARY KEY, v TEXT)")
+    s("INSERT INTO paths VALUES (1, 'a')")
+    s("CREATE INDEX by_v ON paths (v)")
+    assert '"kind": "index_only"' in s("EXPLAIN SELECT count(*) FROM paths WHERE v = 'a'").where("plan_type = 'access_path'").first()["plan"]
+
+
+def test_time_limit_and_admission_cover_the_run(session):
     session.timeout_s = 2
-    assert state(lambda: s("EXPLAIN (ANALYZE) SELECT count(*) FROM range(100000000) a JOIN range(10000) b ON a.id % 7 < b.id")) == "57014"
+    slow = "SELECT count(*) FROM range(100000000) a JOIN range(10000) b ON a.id % 7 < b.id"
+    assert state(session.sql, f"EXPLAIN (ANALYZE) {slow}") == "57014"
+    assert state(session.sql, slow) == "57014", "a SELECT runs under the limit"
+    session.timeout_s = 60
+    assert [r[0] for r in session.sql("SELECT id FROM range(50) ORDER BY id DESC").collect()] == list(range(49, -1, -1))
+    session.admission["read"] = Admission(running=1, waiting=0)
+    with session.admission["read"].admitted():
+        assert state(session.sql, "SELECT 1") == "53300"
+    assert session.sql("SELECT 1").first()[0] == 1
+
+
+def test_scan_limit_counts_what_is_scanned(session):
+    session.sql("CREATE TABLE wide (id BIGINT PRIMARY KEY, v TEXT)")
+    session.sql("INSERT INTO wide SELECT id, 'x' FROM generate_series(1, 100)")
+    session.most_scan_rows = 99
+    assert state(session.sql, "SELECT count(*) FROM wide") == "54000"
+    session.most_scan_rows = 100
+    assert session.sql("SELECT count(*) FROM wide").first()[0] == 100
+
+
+def test_reads_through_indexes(session):
+    """A covered query reads the projections, a selective one only the files that hold its keys; changes keep both current."""
+    s = session.sql
+    s("CREATE TABLE sales (id BIGINT PRIMARY KEY, shop BIGINT, day BIGINT, note TEXT)")
+    for k in range(4):
+        s(f"INSERT INTO sales SELECT {1000 * k} + id, {k}, id % 5, repeat(uuid(), 20) FROM generate_series(1, 500)")
+    s("CREATE INDEX by_shop ON sales (shop) INCLUDE (day)")
 
+    def read(sql):
+        return {p.split("/sales/")[1].split("/")[0] for p in s(sql).inputFiles()}
+
+    covered, selective = "SELECT shop, sum(day) AS d FROM sales WHERE shop IN (1, 2) GROUP BY 1 ORDER BY 1", "SELECT count(note) FROM sales WHERE shop = 3"
+    assert read(covered) == {"indexes"} and read(selective) == {"data"} and len(s(selective).inputFiles()) == 1
+    assert [tuple(r) for r in s(covered).collect()] == [(1, 1000), (2, 1000)] and s(selective).first()[0] == 500
+    assert read("SELECT * FROM sales WHERE day = 2") == {"data"}
+    s("UPDATE sales SET shop = 1 WHERE id >= 3001 AND id <= 3100")
+    s("DELETE FROM sales WHERE id >= 2001 AND id <= 2400")
+    s("INSERT INTO sales VALUES (9000, 2, 7, 'n')")
+    assert read(covered) == {"indexes"} and s(selective).first()[0] == 400
+    assert [tuple(r) for r in s(covered).collect()] == [(1, 1200), (2, 207)]
+    s("BEGIN")
+    s("INSERT INTO sales VALUES (9001, 2, 1, 'n')")
+    assert s(covered).collect()[1][1] == 208
+    s("ROLLBACK")
+    assert s(covered).collect()[1][1] == 207
 
-def test_advisor(spark):
-    from millrace.meta import Column, Index, Table
 
-    table = Table("sales", (Column("order_id", "int64", False), Column("merchant_id", "int64"), Column("day", "int64"), Column("amount", "int64")), "order_id", indexes=(Index("covering", ("merchant_id", "day"), ("amount",), state="public"), Index("by_day", ("day",), state="public")))
-    df = spark.range(8000).selectExpr("id AS order_id", "id % 400 AS merchant_id", "1L AS day", "id AS amount")
-    stats = advisor.collect(df, 8000, ["order_id", "merchant_id", "day", "amount"])
-    pick = advisor.choose(table, advisor.summarise([("merchant_id", "=", 7), ("day", "=", 1)]), stats, {"amount"})
-    assert (pick.kind, pick.index) == ("index_only", "covering")
-    wide = advisor.choose(table, advisor.summarise([("day", "=", 1)]), stats, {"merchant_id", "amount", "order_id"})
-    assert wide.kind == "table_scan"
-    both = advisor.summarise([("day", "=", 1), ("day", "=", 2)])
-    assert both.terms["day"].among == set()
-    feedback = advisor.Feedback()
-    assert feedback.observe(pick, 100_000) > 1 and feedback.factor(pick.signature) <= 20
+def test_failed_backfill_leaves_no_index(session, monkeypatch):
+    session.sql("CREATE TABLE b (id BIGINT PRIMARY KEY, v TEXT)")
+    session.sql("INSERT INTO b VALUES (1, 'x')")
+
+    def broken(*_):
+        raise RuntimeError("a lost disk")
+
+    monkeypatch.setattr(Store, "project", broken)
+    with pytest.raises(RuntimeError):
+        session.sql("CREATE INDEX i ON b (v)")
+    assert session.store.snapshot("b").table.indexes == ()
+
+
+def test_commits_rewrite_only_touched_files(session):
+    s = session.sql
+    s("CREATE TABLE c (id BIGINT PRIMARY KEY, v TEXT)")
+    for k in range(3):
+        s(f"INSERT INTO c SELECT {100 * k} + id, 'x' FROM generate_series(1, 50)")
+    before = {f.path for f in session.store.snapshot("c").files}
+    s("BEGIN")
+    s("UPDATE c SET v = 'y' WHERE id = 120")
+    s("INSERT INTO c VALUES (500, 'z')")
+    s("COMMIT")
+    after = {f.path for f in session.store.snapshot("c").files}
+    assert len(before) == 3 and len(before & after) == 2 and len(after) == 4
+    now = dml.tombstone(session.store, session.store.snapshot("c"), session.spark.sql("SELECT explode(array(10, 220, 999)) AS id"))
+    kept = {f.path for f in now.files}
+    assert len(kept & after) == 2 and now.rows == 149
+    assert s("SELECT count(*) FROM c WHERE id IN (10, 220)").first()[0] == 0
+
+
+def test_manifests(session, spark):
+    """Half a manifest that somebody left locks nothing; of two writers one is refused; files are listed as changes."""
+    s = session.sql
+    s("CREATE TABLE m (id BIGINT PRIMARY KEY, v TEXT)")
+    for k in range(24):
+        if k == 3:
+            path = session.store._manifest("m", session.store.snapshot("m").version + 1)
+            session.store.fs.create(session.store._path(path), False).close()
+        s(f"INSERT INTO m VALUES ({k}, 'x')")
+    assert len(session.store.snapshot("m").files) == 24 and Store(spark, session.store.folder).snapshot("m").rows == 24
+    last = session.store.snapshot("m")
+    session.store.commit(last)
+    assert state(session.store.commit, last) == "40001"
+
+
+def test_old_metadata_is_read():
+    data = {"name": "o", "columns": [{"name": "id", "type": "int64", "nullable": False}], "key": "id", "schema_version": 1}
+    table = Table.from_json(data)
+    assert (table.distribution, table.indexes, table.schema_version) == ("range", (), 2)
+
+
+def test_conditional_write_applies_or_leaves_all(session, spark):
+    s = session.sql
+    s("CREATE TABLE k (id BIGINT PRIMARY KEY, v TEXT)")
+    s("INSERT INTO k VALUES (1, 'a'), (2, NULL)")
+    store = session.store
+    rows = lambda *r: spark.createDataFrame(r, "id BIGINT, v STRING")
+    after, conflicts = dml.apply_if(store, store.snapshot("k"), rows((1, "x"), (3, "new")), rows((1, "a")))
+    assert conflicts.isEmpty() and sorted(map(tuple, store.read(after).collect())) == [(1, "x"), (2, None), (3, "new")]
+    for seen in (rows((1, "a"), (2, None)), rows((2, None))):
+        same, conflicts = dml.apply_if(store, after, rows((1, "y"), (2, "y")), seen)
+        assert same is after and [r.id for r in conflicts.collect()] == [1]
+
+
+def test_catalogue_qualify_and_files(session, spark, tmp_path):
+    s = session.sql
+    s("CREATE TABLE cat (id BIGINT PRIMARY KEY, v TEXT NOT NULL)")
+    assert [r[0] for r in s("SELECT column_name FROM information_schema.columns WHERE table_name = 'cat' ORDER BY ordinal_position").collect()] == ["id", "v"]
+    assert s("SELECT count(*) FROM information_schema . tables").first()[0] == 1
+    assert [r.id for r in s("SELECT id FROM range(9) QUALIFY row_number() OVER (PARTITION BY id % 3 ORDER BY id DESC) = 1 ORDER BY id").collect()] == [6, 7, 8]
+    rows = spark.sql("SELECT id, concat('v', id) AS v FROM range(7)")
+    for kind in files.FORMATS:
+        files.write(rows, f"{tmp_path}/{kind}", kind)
+        assert files.read(spark, f"{tmp_path}/{kind}", kind, "id BIGINT, v STRING").count() == 7
+    with pytest.raises(ValueError):
+        files.read(spark, f"{tmp_path}/csv", "csv")
+
+
+def test_stream_windows_and_sessions(spark, tmp_path):
+    """A late row is dropped once the watermark has passed it; windows and sessions close."""
+    from millrace.streaming import ingest
+
+    def run(make, name):
+        folder = tmp_path / name
+        folder.mkdir()
+        stream = spark.readStream.schema("ts TIMESTAMP, k STRING, n BIGINT").option("maxFilesPerTrigger", 1).json(str(folder))
+        for i, rows in enumerate((["10:00", "10:04", "10:31"], ["12:00"], ["10:02", "12:01"])):
+            spark.createDataFrame([(f"2024-01-01 {t}:00", "a", 1) for t in rows], "ts STRING, k STRING, n BIGINT").coalesce(1).write.mode("append").json(str(folder))
+            if i == 0:
+                query = make(stream).writeStream.outputMode("append").format("memory").queryName(name).option("checkpointLocation", f"{tmp_path}/{name}-cp").start()
+            query.processAllAvailable()
+        query.stop()
+        return sorted((str(r.start)[11:16], str(r.end)[11:16], r.n) for r in spark.table(name).collect())
+
+    assert run(lambda x: ingest.windowed(x, "ts", ["k"], "10 minutes", late="5 minutes", value="n"), "w") == [("10:00", "10:10", 2), ("10:30", "10:40", 1)]
+    assert run(lambda x: ingest.sessions(x, "ts", ["k"], "10 minutes", late="5 minutes"), "s") == [("10:00", "10:14", 2), ("10:31", "10:41", 1)]
 
 
 def test_stream_ingest(session, spark, tmp_path):
@@ -171,3 +322,25 @@ def test_stream_ingest(session, spark, tmp_path):
     stream = spark.readStream.schema("id BIGINT, v STRING").parquet(f"{tmp_path}/in")
     ingest.ingest(stream, session.store, "e", f"{tmp_path}/cp").awaitTermination()
     assert session.sql("SELECT count(*) FROM e").first()[0] == 50
+    with pytest.raises(Exception, match="23505"):  # a key that is there already stops the stream and leaves the row
+        spark.sql("SELECT 1L AS id, 'other' AS v").write.parquet(f"{tmp_path}/again")
+        again = spark.readStream.schema("id BIGINT, v STRING").parquet(f"{tmp_path}/again")
+        ingest.ingest(again, session.store, "e", f"{tmp_path}/cp2").awaitTermination()
+    assert session.sql("SELECT v FROM e WHERE id = 1").first()[0] == "v1"
+
+
+def test_stream_batch_that_comes_again_is_known(session, spark, tmp_path):
+    """The stream's record of a batch is lost after the rows were committed: the batch comes again and is skipped."""
+    from pathlib import Path
+
+    from millrace.streaming import ingest
+
+    session.sql("CREATE TABLE twice (id BIGINT PRIMARY KEY, v TEXT)")
+    spark.sql("SELECT id, 'a' AS v FROM range(20)").write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id BIGINT, v STRING").parquet(f"{tmp_path}/in")
+    ingest.ingest(stream, session.store, "twice", f"{tmp_path}/cp").awaitTermination()
+    version = session.store.snapshot("twice").version
+    for f in Path(f"{tmp_path}/cp/commits").glob("*0*"):
+        f.unlink()
+    ingest.ingest(stream, session.store, "twice", f"{tmp_path}/cp").awaitTermination()
+    assert session.store.snapshot("twice").version == version and session.store.snapshot("twice").rows == 20
