@@ -174,7 +174,9 @@ def write(pages: DataFrame, folder: str, scratch: Scratch, payload: str = "html"
     # written before they are joined, so that pages with one common payload can be split over tasks
     firsts = scratch.save(keys.where(F.col("payload_bytes") >= least).groupBy("sha").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("sha", "first"), "firsts")
     # only pages that are not first need a look-up; their ids go to the page rows as a small left join
-    revisits = keys.where(F.col("payload_bytes") >= least).join(firsts, "sha").where("page_id is not null and page_id <> first").select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), "first").distinct()
+    # repeated rows go before the join: an aggregate after it, on its key and more, would keep Spark from splitting
+    single = keys.where((F.col("payload_bytes") >= least) & F.col("page_id").isNotNull()).select("page_id", "sha").distinct()
+    revisits = single.join(firsts, "sha").where("page_id <> first").select(F.col("page_id").alias("_id"), F.col("sha").alias("_sha"), "first")
     revisits = scratch.save(revisits, "revisits")
     rows = named.join(revisits, (F.col("page_id") == F.col("_id")) & (F.col("sha") == F.col("_sha")), "left")
     rows = rows.select("page_id", "url", F.when(F.col("_id").isNull(), F.col("body")).alias("body"), "payload_bytes", "sha", "first", F.col("_id").isNotNull().alias("revisit"))
