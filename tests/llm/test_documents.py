@@ -368,6 +368,29 @@ def test_warc(spark, tmp_path):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_attempts_keep_apart(spark, tmp_path):
+    """A task runs twice; the second attempt writes its archive and is lost before it commits. Nothing of the first is."""
+    folder = f"file://{tmp_path}/archives"
+    batch = pa.RecordBatch.from_pylist([{"page_id": i, "url": "u", "body": b"%d" % i, "payload_bytes": 1, "sha": "00" * 20, "first": None, "revisit": True} for i in range(4)])
+    won = warc.write_archive(iter([batch]), folder, "run", 3)
+    lost = warc.write_archive(iter([batch]), folder, "run", 3)
+    other = warc.write_archive(iter([batch]), folder, "another", 3)
+    assert len({won[0], lost[0], other[0]}) == 3 and warc.write_archive(iter([]), folder, "run", 4) is None
+    manifest = spark.createDataFrame([won], "file STRING, records BIGINT")
+    warc.drop_lost(folder, "run", manifest)
+    assert {p.name for p in (tmp_path / "archives").iterdir()} == {x[0].rpartition("/")[2] for x in (won, other)}
+    assert sorted(r.page_id for r in warc.archived(manifest).collect()) == [0, 1, 2, 3]
+
+
+def test_warc_reads_an_archive_to_a_task(spark):
+    pages = spark.range(300).selectExpr("id AS page_id", "'u' AS url", "concat('body ', id) AS html").repartition(12)
+    from millrace.llm.common import Scratch
+
+    scratch = Scratch(spark, "warc")
+    manifest = warc.write(pages, scratch.path("archives"), scratch)
+    assert manifest.count() == 12 and warc.archived(manifest).rdd.getNumPartitions() == 12
+
+
 def test_warc_reader_refuses_damage():
     body = b"x" * 300_000
     whole = warc.archive_bytes([(1, "u", body, len(body), warc.digest(body), None, False), (2, "u", b"", 3, warc.digest(b"abc"), 1, True)])
