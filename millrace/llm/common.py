@@ -103,6 +103,14 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return df.toDF(*[f"c{i}" for i in range(len(names))]).mapInArrow(renamed, inner).toDF(*schema.names)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows and about so many bytes at most, so that what is made of a batch stays small."""
+    for batch in batches:
+        step = max(1, min(rows, len(batch) * size // max(1, batch.nbytes)))
+        for at in range(0, len(batch), step):
+            yield batch.slice(at, step)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser over unsigned 64-bit values."""
     x = x ^ (x >> U64(30))

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, WordHashes, fresh, mapped, named, shared, words_of
+from .common import Scratch, WordHashes, fresh, mapped, named, shared, slices, words_of
 
 #: A line is boilerplate in more documents of a host than this and than this share of the host's documents.
 LEAST_DOCS = 5
@@ -75,7 +75,7 @@ def measured(docs: DataFrame, host: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared(WordHashes)
-        for batch in batches:
+        for batch in slices(batches):
             found = [measure(t, words) for t in batch["text"].to_pylist()]
             stats = [pa.array([f[0][i] for f in found], pa.int64()) for i in range(len(STATS))]
             lines = pa.array([np.array(f[1], np.uint64).view(np.int64) for f in found], pa.list_(pa.int64()))
@@ -104,7 +104,8 @@ def judged(docs: DataFrame, host: str = "source", scratch: Scratch | None = None
     # one row for each (host, line, document), so a hot line is dealt over its documents before it is counted
     single = lines.groupBy("host", "line", *document).agg(F.min("doc_id").alias("first"))
     counted = single.groupBy("host", "line").agg(F.count("*").alias("n"), F.min("first").alias("first")).where(F.col("n") > least_docs)
-    above = counted.join(documents.withColumnRenamed("host", "_host"), F.col("host").eqNullSafe(F.col("_host")))
+    documents = scratch.save(documents.withColumnRenamed("host", "_host"), "documents")  # so that a hot host's lines can be split too
+    above = counted.join(documents, F.col("host").eqNullSafe(F.col("_host")))
     # written, so that Spark can split the rows of a hot line over tasks in the join below
     hot = scratch.save(above.where(F.col("n") > share * F.col("documents")).select(F.col("_host").alias("hot_host"), F.col("line").alias("hot_line"), "first"), "hot")
 
@@ -133,7 +134,7 @@ def cleaned(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
     both = docs.withColumn(own, F.xxhash64("text")).join(v, F.col("doc_id").cast("long").eqNullSafe(F.col(at)) & (F.col(own) == F.col(digest))).select(*named(names), gone)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts = [without(t, g) for t, g in zip(batch["text"].to_pylist(), batch[gone].to_pylist(), strict=True)]
             new = {"text": pa.array(texts, pa.string())}
             if "n_chars" in names:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, U64, Scratch, WordHashes, mix, runs, shared, shingle_hashes, words_of
+from .common import GOLDEN, U64, Scratch, WordHashes, mix, runs, shared, shingle_hashes, slices, words_of
 from .components import connected
 
 BANDS, ROWS = 28, 5
@@ -84,7 +84,7 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(shingle, bands, rows)
         types = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("fp1", pa.int64()), ("fp2", pa.int64()), ("bands", pa.list_(pa.int64()))])
-        for batch in batches:
+        for batch in slices(batches):
             out = [hasher.row(i, t) for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types.types, strict=True)] if out else [pa.array([], t) for t in types.types], schema=types)
 
@@ -106,7 +106,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, scrat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, at, centre = Hasher(shingle), None, np.array([], U64)
-        for batch in batches:
+        for batch in slices(batches):
             cs, ds, yes = [], [], []
             for c, salt, member, d, text in zip(*(batch[k].to_pylist() for k in ("c", "salt", "member", "d", "text")), strict=True):
                 if not member:

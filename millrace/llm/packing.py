@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLOT, Scratch, _shared, ranked
+from .common import SLOT, Scratch, _shared, ranked, slices
 
 CAPACITY = 4096
 END_ID = 1
@@ -145,7 +145,7 @@ def pieces(docs: DataFrame, model: str, capacity: int = CAPACITY, ids: bool = Fa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_of(sent.value)
-        for batch in batches:
+        for batch in slices(batches):
             out: list[tuple] = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
                 data = encoder.ids(text) + end

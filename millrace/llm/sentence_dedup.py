@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import GOLDEN, U64, Scratch, WordHashes, fresh, mapped, mix, named, shared
+from .common import GOLDEN, U64, Scratch, WordHashes, fresh, mapped, mix, named, shared, slices
 
 SPAN = 3
 #: A piece ends after [.!?] before white space, or before a word of least hash, after so many words at the latest.
@@ -155,7 +155,7 @@ def repeats(docs: DataFrame, scratch: Scratch, span: int, least: int) -> DataFra
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             hashes, places, inside = [], [], []
             for t in batch["text"].to_pylist():
                 h = runs(t, span, least)
@@ -199,7 +199,7 @@ def substring_dedup(docs: DataFrame, span: int = SPAN, least: int = LEAST_WORDS,
     schema = T.StructType([*docs.schema.fields, *([T.StructField("n_removed", T.LongType())] if counts else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = [strip(t, s, span, least) for t, s in zip(batch["text"].to_pylist(), batch[gone].to_pylist(), strict=True)]
             new = {"text": pa.array([x[0] for x in out], pa.string())}
             if "n_chars" in names:

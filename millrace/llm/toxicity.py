@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import GOLDEN, MIX_1, U64, WordHashes, importable, mapped, named, shared
+from .common import GOLDEN, MIX_1, U64, WordHashes, importable, mapped, named, shared, slices
 
 BITS = 20
 FIT_ROWS = 30_000
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, where: str = "true", bits: int = BIT
 
     def coordinates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(bits)
-        for batch in batches:
+        for batch in slices(batches):
             at = [packed(features.of(t)) for t in batch["text"].to_pylist()]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(at, pa.binary()), batch["label"]], names=["doc_id", "at", "label"])
 
@@ -187,7 +187,7 @@ def score(docs: DataFrame, weights: Weights, threshold: float = THRESHOLD, names
         w = sent.value
         dense, features = w.dense(), Features(w.bits)
         used = dense != 0
-        for batch in batches:
+        for batch in slices(batches):
             logits = np.array([features.logit(t, dense, used) + w.bias for t in batch["text"].to_pylist()])
             p = 1 / (1 + np.exp(-np.clip(logits, -35, 35)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*batch.schema.names, *names])

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLDEN, MIX_1, U64, WordHashes, importable, shared
+from .common import GOLDEN, MIX_1, U64, WordHashes, importable, shared, slices
 from .toxicity import FIT_BYTES, Ftrl, Weights, learn, packed
 
 BITS = 18
@@ -166,7 +166,7 @@ def label_model(docs: DataFrame) -> tuple[LabelModel, dict[int, float]]:
     importable(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch["text"].to_pylist():
                 data = (text or "").encode("utf-8", "replace")
@@ -192,7 +192,7 @@ def fit(docs: DataFrame, posteriors: dict[int, float], bits: int = BITS, rows: i
 
     def coordinates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         features = Features(bits)
-        for batch in batches:
+        for batch in slices(batches):
             found = [features.of(t) for t in batch["text"].to_pylist()]
             label = [sent.value.get(pattern(v), 0.5) for _, v in found]
             yield pa.RecordBatch.from_arrays([batch["o"], pa.array([packed(a) for a, _ in found], pa.binary()), pa.array(label, pa.float64())], names=["o", "at", "label"])
@@ -219,7 +219,7 @@ def quality(docs: DataFrame, threshold: float = THRESHOLD, fit_rows: int = FIT_R
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, known = sent.value
         dense, features = weights.dense(), Features(weights.bits)
-        for batch in batches:
+        for batch in slices(batches):
             found = [features.of(t) for t in batch["text"].to_pylist()]
             logits = np.array([dense[at].sum() + weights.bias for at, _ in found])
             p = 1 / (1 + np.exp(-np.clip(logits, -35, 35)))
