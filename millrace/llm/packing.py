@@ -93,7 +93,7 @@ class Encoder(dict):
     Full, it keeps what came first, which holds the frequent ones; `room` bounds its bytes.
     """
 
-    room = 128 << 20
+    room = 176 << 20
 
     def __init__(self, model: str):
         from tokenizers import Tokenizer
