@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.files import VIEWS
+from ..sources.files import PG_VIEWS, VIEWS
 
 DAY = 86_400_000_000
 UTC_MIDNIGHT = "CAST(CAST(convert_timezone('UTC', CAST(current_timestamp() AS TIMESTAMP_NTZ)) AS DATE) AS TIMESTAMP_NTZ)"
@@ -103,7 +103,7 @@ def _intervals(spark: SparkSession) -> bool:
 
 def rewrite(sql: str) -> str:
     """Drops the pg_catalog prefix, names the catalogue's views as Spark has them, turns generate_series(a, b) into range(a, b + 1)."""
-    out = re.sub(r"\bpg_catalog\s*\.\s*(?=(?:age|txid_current|pg_postmaster_start_time|pg_is_in_recovery)\s*\()", "", sql, flags=re.I)
+    out = re.sub(rf"\bpg_catalog\s*\.\s*(?=(?:age|txid_current|pg_postmaster_start_time|pg_is_in_recovery)\s*\(|(?:pg_locks|{'|'.join(PG_VIEWS)})\b)", "", sql, flags=re.I)
     for name, view in VIEWS.items():
         out = re.sub(rf"\b{name.replace('.', r'\s*\.\s*')}\b", view, out, flags=re.I)
     return re.sub(r"\bgenerate_series\s*\(([^(),]+),([^(),]+)\)", r"range(\1, (\2) + 1)", out, flags=re.I)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import constraints, dml
 from ..meta import Check, Column, Table
-from ..session import latest
+from ..session import latest, unmet
 from ..statements import Bounds
 from ..store import Store
 from ..types import out_of_range
@@ -178,7 +178,13 @@ def k4_latest_wins(t):
     return versions(t).groupBy("k").agg(F.max_by("value", "seq").alias("value"), F.max("seq").alias("seq"))
 
 
-@q(f"SELECT count(*) = 0 AS applied FROM (SELECT k, max(seq) AS seq FROM ({VERSIONS}) v GROUP BY k) h WHERE seq > 900")
+@q("SELECT 'present' AS expected, true AS applied, CAST(0 AS BIGINT) AS conflicts UNION ALL SELECT 'stale', count(DISTINCT user_id) = 0, count(DISTINCT user_id) FROM events WHERE user_id % 5 = 0 "
+   f"UNION ALL SELECT 'none', count(*) = 0, count(*) FROM (SELECT k, arg_max(deleted, seq) AS gone FROM ({VERSIONS}) v GROUP BY k) h WHERE NOT gone")
 def k5_conditional_apply(t):
-    held = versions(t).groupBy("k").agg(F.max("seq").alias("seq"))
-    return held.where("seq > 900").agg((F.count("*") == 0).alias("applied"))
+    """Writes that expect each key's present version, one that every fifth key never had, or no live row; and of keys yet unknown."""
+    rows = versions(t)
+    unknown = t.spark.range(3).selectExpr("-1 - id AS k", "CAST(0 AS BIGINT) AS expected")
+    present = rows.select("k").distinct().join(latest(rows, "k", ["seq"]).select("k", F.col("seq").alias("expected")), "k", "left").fillna(0, ["expected"]).unionByName(unknown)
+    cases = {"present": present, "stale": present.withColumn("expected", F.expr("if(k >= 0 and k % 5 = 0, expected + 1, expected)")), "none": present.withColumn("expected", F.lit(0).cast("long"))}
+    out = [unmet(rows, wanted, "k", "seq").agg(F.count("*").alias("conflicts")).select(F.lit(name).alias("expected"), (F.col("conflicts") == 0).alias("applied"), "conflicts") for name, wanted in cases.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2])

@@ -1,4 +1,4 @@
-"""Compatibility functions, introspection, plans and streams as queries (F1-F5, S17-S19, X1-X5, G1-G3, function families)."""
+"""Compatibility functions, introspection, plans and streams as queries (F1-F5, S17-S19, X1-X5, G1-G4, function families)."""
 
 from __future__ import annotations
 
@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import statements as st
 from ..functions import pg
 from ..plans import explain
+from ..streaming import ingest
 from . import indexed
 from .registry import Registry
 
@@ -96,6 +97,33 @@ def fn_map(t):
     return one.select("n_nationkey", F.element_at("m", "name").alias("v"))
 
 
+@q("SELECT p_partkey, array_to_string([upper(x) for x in w], '/') AS upper_words, CAST(len([x for x in w if length(x) > 5]) AS BIGINT) AS long_words FROM (SELECT p_partkey, string_split(p_type, ' ') AS w FROM part) x")
+def fn_array_lambda(t):
+    return t("part").withColumn("w", F.split("p_type", " ")).selectExpr("p_partkey", "array_join(transform(w, x -> upper(x)), '/') AS upper_words", "CAST(size(filter(w, x -> length(x) > 5)) AS BIGINT) AS long_words")
+
+
+@q("SELECT word, count(*) AS n FROM (SELECT unnest(string_split(p_type, ' ')) AS word FROM part) x GROUP BY word")
+def fn_explode(t):
+    return t("part").select(F.explode(F.split("p_type", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@q("SELECT p_partkey, array_to_string(map_keys(m), ',') AS names, CAST(map_values(m)[2] AS BIGINT) AS second, CAST(cardinality(m) AS BIGINT) AS n FROM (SELECT p_partkey, map(['size', 'key'], [CAST(p_size AS BIGINT), CAST(p_partkey AS BIGINT)]) AS m FROM part) x")
+def fn_map_parts(t):
+    made = t("part").selectExpr("p_partkey", "map('size', CAST(p_size AS BIGINT), 'key', CAST(p_partkey AS BIGINT)) AS m")
+    return made.selectExpr("p_partkey", "array_join(map_keys(m), ',') AS names", "element_at(map_values(m), 2) AS second", "CAST(cardinality(m) AS BIGINT) AS n")
+
+
+@q("SELECT event_id, k, '{\"k\":' || k || '}' AS again FROM (SELECT event_id, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT), -1) AS k FROM events) x")
+def fn_json_struct(t):
+    parsed = t("events").select("event_id", F.coalesce(F.from_json("props", "k BIGINT")["k"], F.lit(-1)).alias("k"))
+    return parsed.select("event_id", "k", F.to_json(F.struct("k")).alias("again"))
+
+
+@q("SELECT * FROM (VALUES ('public', 'orders', 'by_customer'), ('public', 'orders', 'by_status')) v(schemaname, tablename, indexname)")
+def s18_pg_catalog(t):
+    return indexed.orders(t).sql("SELECT i.schemaname, i.tablename, i.indexname FROM pg_catalog.pg_indexes i JOIN pg_class c ON c.relname = i.indexname WHERE c.relkind = 'i'")
+
+
 def _topk(t):
     return t("orders").where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "o_custkey").limit(5)
 
@@ -139,6 +167,21 @@ def g2_sliding_window(t):
     return out.select(F.col("window.start").alias("start"), "n")
 
 
+@q("SELECT user_id, count(*) AS n, round(sum(value), 4) AS total, date_trunc('millisecond', max(ts)) AS last FROM events GROUP BY user_id")
+def g4_keyed_state(t):
+    """What a stream over the events holds of each key at its end. A batch that comes again replaces its own rows."""
+    folder = indexed.folder(t.spark)
+    stream = t.spark.readStream.schema(t("events").schema).parquet(f"{t.sf_dir}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+
+    def write(rows, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+
+    query = ingest.keyed(stream, "ts", ["user_id"], "value").writeStream.outputMode("update").foreachBatch(write)
+    query.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    held = t.spark.read.parquet(f"{folder}/rows").groupBy("user_id")
+    return held.agg(F.max("n").alias("n"), F.round(F.max_by("total", "n"), 4).alias("total"), F.timestamp_millis(F.max("last_ms")).cast("timestamp_ntz").alias("last"))
+
+
 @q("WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k")
 def g3_session_window(t):
     out = t("events").groupBy(F.session_window("ts", "2 hours"), "user_id").agg(F.count("*").alias("n"))

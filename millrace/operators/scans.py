@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import dml
 from ..sources.generators import generate_series, values
+from ..statements import Bounds
 from . import indexed
 from .registry import Registry
 
@@ -37,6 +39,14 @@ def s4_key_ranges_per_bucket(t):
     return t("orders").groupBy((F.col("o_orderkey") % 4).alias("part")).agg(F.min("o_orderkey").alias("low"), F.max("o_orderkey").alias("high"), F.count("*").alias("n"))
 
 
+@q("SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey BETWEEN 100 AND 399")
+def s4_bounds_to_files(t):
+    """Only the data files whose key range meets the bounds are read."""
+    store, bounds = indexed.orders(t).store, Bounds(100, 399)
+    snapshot = store.snapshot("orders")
+    return store.read(snapshot, dml.touched(snapshot, bounds)[0]).where(dml.within("o_orderkey", bounds)).select("o_orderkey", "o_totalprice")
+
+
 @q("SELECT event_id, user_id, event_type FROM events WHERE event_type = 'purchase' AND user_id < 50")
 def s5_row_scan_with_residual(t):
     return t("events").where("event_type = 'purchase' AND user_id < 50").select("event_id", "user_id", "event_type")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -45,8 +48,45 @@ def information_schema(store: Store) -> tuple[DataFrame, DataFrame]:
 VIEWS = {"information_schema.tables": "information_schema_tables", "information_schema.columns": "information_schema_columns"}
 
 
+#: The ids of the two namespaces, and the columns of the pg_catalog views.
+NAMESPACES = ((11, "pg_catalog"), (2200, "public"))
+PG_VIEWS = {
+    "pg_namespace": "oid BIGINT, nspname STRING",
+    "pg_class": "oid BIGINT, relname STRING, relnamespace BIGINT, relkind STRING, reltuples FLOAT",
+    "pg_attribute": "attrelid BIGINT, attname STRING, attnum SMALLINT, attnotnull BOOLEAN, attisdropped BOOLEAN",
+    "pg_tables": "schemaname STRING, tablename STRING, hasindexes BOOLEAN",
+    "pg_indexes": "schemaname STRING, tablename STRING, indexname STRING",
+}
+
+
+def oid(name: str) -> int:
+    """An id that a table or index keeps as long as its name."""
+    return 16384 + zlib.crc32(name.encode())
+
+
+def pg_catalog(store: Store) -> dict[str, DataFrame]:
+    """The views of pg_catalog over a store, by name: a row per table, index and column."""
+    rows: dict[str, list[tuple]] = {name: [] for name in PG_VIEWS}
+    rows["pg_namespace"] += NAMESPACES
+    public = NAMESPACES[1][0]
+    for name in store.tables():
+        snapshot = store.snapshot(name)
+        table = snapshot.table
+        rows["pg_class"].append((oid(name), name, public, "r", float(snapshot.rows)))
+        rows["pg_tables"].append(("public", name, bool(table.indexes)))
+        rows["pg_attribute"] += [(oid(name), c.name, i, not c.nullable, False) for i, c in enumerate(table.columns, 1)]
+        for index in table.indexes:
+            rows["pg_class"].append((oid(index.name), index.name, public, "i", float(snapshot.rows)))
+            rows["pg_indexes"].append(("public", name, index.name))
+    return {name: store.spark.createDataFrame(rows[name], columns) for name, columns in PG_VIEWS.items()}
+
+
 def register_views(store: Store, sql: str) -> None:
     """The catalogue as temporary views, if a query names one of them."""
-    if "information_schema" in sql.lower():
+    words = set(re.findall(r"\w+", sql.lower()))
+    if "information_schema" in words:
         for view, rows in zip(VIEWS.values(), information_schema(store), strict=True):
             rows.createOrReplaceTempView(view)
+    if words & PG_VIEWS.keys():
+        for view, rows in pg_catalog(store).items():
+            rows.createOrReplaceTempView(view)

@@ -3,12 +3,13 @@
 import random
 
 import pytest
+from pyspark.errors import ArithmeticException
 
 from millrace import dml
 from millrace.errors import EngineError
 from millrace.functions import pg
 from millrace.meta import Table
-from millrace.session import Admission, Session
+from millrace.session import Admission, Session, unmet
 from millrace.sources import files
 from millrace.store import Store
 
@@ -280,11 +281,32 @@ def test_conditional_write_applies_or_leaves_all(session, spark):
         assert same is after and [r.id for r in conflicts.collect()] == [1]
 
 
+def test_conditions_on_versions(spark):
+    """A condition holds for the newest version, and 0 for a key without one or with a deleted one."""
+    held = spark.createDataFrame([(1, 5, False), (1, 7, False), (2, 6, True)], "k BIGINT, seq BIGINT, deleted BOOLEAN")
+    wanted = [(1, 7, True), (1, 5, False), (1, 0, False), (2, 0, True), (2, 6, True), (2, 4, False), (3, 0, True), (3, 1, False)]
+    for k, expected, met in wanted:
+        assert unmet(held, spark.createDataFrame([(k, expected)], "k BIGINT, expected BIGINT"), "k", "seq").isEmpty() == met, (k, expected)
+
+
+def test_sum_beyond_its_range_is_an_error(session):
+    with pytest.raises(ArithmeticException):
+        session.sql("SELECT sum(n) FROM VALUES (9223372036854775807L), (1L) AS v(n)").collect()
+
+
 def test_catalogue_qualify_and_files(session, spark, tmp_path):
     s = session.sql
     s("CREATE TABLE cat (id BIGINT PRIMARY KEY, v TEXT NOT NULL)")
     assert [r[0] for r in s("SELECT column_name FROM information_schema.columns WHERE table_name = 'cat' ORDER BY ordinal_position").collect()] == ["id", "v"]
     assert s("SELECT count(*) FROM information_schema . tables").first()[0] == 1
+    s("CREATE INDEX cat_by_v ON cat (v)")
+    columns = "SELECT a.attname, a.attnotnull FROM pg_catalog.pg_class c JOIN pg_attribute a ON a.attrelid = c.oid WHERE c.relname = 'cat' ORDER BY a.attnum"
+    assert [tuple(r) for r in s(columns).collect()] == [("id", True), ("v", True)]
+    assert s("SELECT hasindexes FROM pg_tables WHERE tablename = 'cat'").first()[0]
+    s("BEGIN")
+    assert s("SELECT count(*) FROM pg_catalog.pg_locks WHERE granted").first()[0] == 2
+    s("ROLLBACK")
+    assert s("SELECT count(*) FROM pg_locks").first()[0] == 0
     assert [r.id for r in s("SELECT id FROM range(9) QUALIFY row_number() OVER (PARTITION BY id % 3 ORDER BY id DESC) = 1 ORDER BY id").collect()] == [6, 7, 8]
     rows = spark.sql("SELECT id, concat('v', id) AS v FROM range(7)")
     for kind in files.FORMATS:
@@ -314,6 +336,21 @@ def test_stream_windows_and_sessions(spark, tmp_path):
     assert run(lambda x: ingest.sessions(x, "ts", ["k"], "10 minutes", late="5 minutes"), "s") == [("10:00", "10:14", 2), ("10:31", "10:41", 1)]
 
 
+def test_keyed_state_lives_until_the_key_is_idle(spark, tmp_path):
+    from millrace.streaming import ingest
+
+    folder = tmp_path / "keys"
+    folder.mkdir()
+    stream = spark.readStream.schema("ts TIMESTAMP, k STRING, v INT").json(str(folder))
+    query = ingest.keyed(stream, "ts", ["k"], "v", late="5 minutes", idle_ms=1_800_000).writeStream.outputMode("update").format("memory").queryName("keys").option("checkpointLocation", f"{tmp_path}/cp").start()
+    for rows in ([("10:00", "a", 1), ("10:05", "a", None), ("10:05", None, 4)], [("10:20", "a", 2)], [("12:00", "b", 7)], [("10:21", "a", 9), ("12:01", "a", 3)]):
+        spark.createDataFrame([(f"2024-01-01 {t}:00", k, v) for t, k, v in rows], "ts STRING, k STRING, v INT").coalesce(1).write.mode("append").json(str(folder))
+        query.processAllAvailable()
+    query.stop()
+    got = sorted((str(r.k), r.n, r.total, r.closed) for r in spark.table("keys").collect())
+    assert got == [("None", 1, 4.0, False), ("None", 1, 4.0, True), ("a", 1, 3.0, False), ("a", 2, 1.0, False), ("a", 3, 3.0, False), ("a", 3, 3.0, True), ("b", 1, 7.0, False)]
+
+
 def test_stream_ingest(session, spark, tmp_path):
     from millrace.streaming import ingest
 
