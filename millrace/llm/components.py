@@ -16,7 +16,7 @@ def unsettled(edges: DataFrame) -> Row:
     return nodes.agg(F.coalesce(F.sum("up"), F.lit(0)).alias("n"), F.count(F.when(F.expr("up > 1 or up > 0 and down > 0"), 1)).alias("open")).first()
 
 
-def connected(edges: DataFrame, scratch: Scratch, name: str = "cc", most_rounds: int = 60) -> DataFrame:
+def connected(edges: DataFrame, scratch: Scratch, name: str = "cc", most_rounds: int = 60, most_edges: int | None = None) -> DataFrame:
     """(node, component) for each node of `edges` (columns u, v of type long); component is the smallest node reached.
 
     Kiveris et al., "Connected Components in MapReduce and Beyond" (2014). Each round is written to the scratch folder,
@@ -24,9 +24,9 @@ def connected(edges: DataFrame, scratch: Scratch, name: str = "cc", most_rounds:
     minimum is a partial aggregate. It is written before it is joined back, so that both sides of the join come from
     plain shuffles and the rows of a hub (the least node of a large component) can be split over tasks. The rounds end
     when every edge leads from a root to a leaf of one parent, which is checked on the edges themselves. Self loops
-    and nulls link nothing, and an empty table gives an empty result.
+    and nulls link nothing, and an empty table gives an empty result. most_edges: a bound of the rows of `edges`, if known.
     """
-    now = scratch.save(edges.where("u is not null and v is not null and u <> v").select(F.least("u", "v").alias("p"), F.greatest("u", "v").alias("c")).distinct(), f"{name}0")
+    now = scratch.save(edges.where("u is not null and v is not null and u <> v").select(F.least("u", "v").alias("p"), F.greatest("u", "v").alias("c")).distinct(), f"{name}0", most_edges)
     for k in range(1, most_rounds):
         seen = unsettled(now)
         if not seen.open:

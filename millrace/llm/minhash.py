@@ -91,14 +91,15 @@ def signatures(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFram
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SIGNATURE)
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, scratch: Scratch, per_salt: int = 256) -> DataFrame:
+def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int, scratch: Scratch, per_salt: int = 256, most_centres: int | None = None) -> DataFrame:
     """`pairs` (c, d) with `linked`: 100 * intersection >= percent * union, on the full sets of the documents' words.
 
     Each text travels once for each of its pairs; very long ones are compared whole. A centre with many pairs is dealt
     over several salts; how many is written first, so that its pairs can be split over tasks in the join too. Pairs of
-    which either document is not in `docs` are not returned; no pair gives an empty result.
+    which either document is not in `docs` are not returned; no pair gives an empty result. most_centres: a bound of the
+    number of centres.
     """
-    salts = scratch.save(pairs.groupBy("c").agg(F.ceil(F.count("*") / per_salt).cast("int").alias("of")), "salts")
+    salts = scratch.save(pairs.groupBy("c").agg(F.ceil(F.count("*") / per_salt).cast("int").alias("of")), "salts", most_centres)
     salted = pairs.join(salts, "c").select("c", "d", F.expr("pmod(xxhash64(d), of)").alias("salt"))
     needs = salted.select("c", "salt", F.col("d").alias("doc_id")).unionByName(salted.select("c", "salt", F.col("c").alias("doc_id")).distinct())
     texts = needs.join(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), "doc_id")
@@ -188,24 +189,25 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     """
     scratch = scratch or Scratch(docs.sparkSession, "minhash")
     sigs = scratch.save(signatures(docs, shingle, bands, rows), "sigs")
+    n = sigs.count()  # bounds the rows of what is made of it, so that small tables get few files
     # what is joined to groups that may be hot is written first: Spark splits only what both come from plain shuffles
-    classes = scratch.save(sigs.where("doc_id is not null and n_shingles > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep")), "classes")
+    classes = scratch.save(sigs.where("doc_id is not null and n_shingles > 0").groupBy("fp1", "fp2").agg(F.min("doc_id").alias("rep")), "classes", n)
     reps = sigs.join(classes.withColumnRenamed("rep", "doc_id"), ["fp1", "fp2", "doc_id"], "left_semi").dropDuplicates(["doc_id", "fp1", "fp2"])
     banded = reps.select(F.col("doc_id").alias("d"), F.explode("bands").alias("key"), "n_shingles")
-    buckets = scratch.save(banded.groupBy("key").agg(F.min("d").alias("c"), F.count("*").alias("n")).where("n > 1"), "buckets")
+    buckets = scratch.save(banded.groupBy("key").agg(F.min("d").alias("c"), F.count("*").alias("n")).where("n > 1"), "buckets", n * bands // 2)
     stars = scratch.save(banded.join(buckets, "key").select("key", "c", "d", "n", "n_shingles"), "stars")
 
     texts = docs.select("doc_id", "text")
-    pairs = scratch.save(stars.where("c <> d").select("c", "d").distinct(), "pairs")
-    checked = scratch.save(confirm(pairs, _one_text(texts), shingle, percent, scratch), "checked")
+    pairs = scratch.save(stars.where("c <> d").select("c", "d").distinct(), "pairs", n * bands)
+    checked = scratch.save(confirm(pairs, _one_text(texts), shingle, percent, scratch, most_centres=n), "checked")
     found = checked.where("linked").select(F.col("c").alias("u"), F.col("d").alias("v"))
     # rows with one doc_id and several texts: their classes meet in the id; classes of one set meet in its least id
     own = sigs.where("doc_id is not null and n_shingles > 0").join(classes, ["fp1", "fp2"]).select("doc_id", "rep")
     found = found.unionByName(own.where("rep <> doc_id").select(F.col("rep").alias("u"), F.col("doc_id").alias("v")))
-    labels = scratch.save(connected(found, scratch, "cc"), "labels")
+    labels = scratch.save(connected(found, scratch, "cc", most_edges=n * (bands + 1)), "labels")
 
     failed = stars.where("n > 2").join(checked.where("not linked").select("c", "d"), ["c", "d"], "left_semi").select("key").distinct()
-    doubtful = stars.join(scratch.save(failed, "failed"), "key", "left_semi")
+    doubtful = stars.join(scratch.save(failed, "failed", n * bands // 2), "key", "left_semi")
     # a member of size s meets those of sizes up to 100 * s / percent: its own step of the scale and the next
     step = F.floor(F.log("n_shingles") / float(np.log(100 / percent)) + 1e-9).cast("int") if percent < 100 else F.col("n_shingles")
     members = doubtful.join(labels.withColumnRenamed("node", "d"), "d", "left").select("key", "d", F.coalesce("component", "d").alias("component"), F.explode(F.array(step, step - 1)).alias("step"), step.alias("own"))
@@ -215,7 +217,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
     # bands often make the same part again: one of those with the same members is enough
     parts = parts.where("components > 1 and low").groupBy("h1", "h2", "n", "main").agg(F.min(F.struct("key", "step")).alias("k"))
     of = [F.ceil(x / block).cast("int").alias(y) for x, y in ((F.col("n") - F.col("main.n"), "of_few"), (F.col("main.n"), "of_main"))]
-    parts = scratch.save(parts.select("k.key", "k.step", F.col("main.component").alias("main"), *of), "parts")
+    parts = scratch.save(parts.select("k.key", "k.step", F.col("main.component").alias("main"), *of), "parts", n * bands)
     # the few in block `at` meet the few of each block and the main component's of each block, whose numbers come after
     dealt = members.join(parts, ["key", "step"]).withColumn("few", F.expr("component <> main")).withColumn("at", F.expr("pmod(xxhash64(d), if(few, of_few, of_main))"))
     dealt = dealt.withColumn("other", F.explode(F.expr("if(few, sequence(0, of_few + of_main - 1), sequence(0, of_few - 1))"))).withColumn("at", F.expr("if(few, at, of_few + at)"))
@@ -231,9 +233,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, bands:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["u", "v"])
 
     more = scratch.save(full.mapInArrow(searched, "u long, v long"), "more")
-    if not more.isEmpty():
+    if found_more := more.count():
         tree = labels.where("node <> component").select(F.col("component").alias("u"), F.col("node").alias("v"))
-        labels = scratch.save(connected(more.unionByName(tree), scratch, "cd"), "relabelled")
+        labels = scratch.save(connected(more.unionByName(tree), scratch, "cd", most_edges=found_more + n), "relabelled")
 
     out = sigs.select("doc_id", "n_shingles").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
