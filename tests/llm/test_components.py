@@ -23,4 +23,6 @@ def test_random_graphs(spark):
             root[max(a, b)] = min(a, b)
     out = connected(spark.createDataFrame(edges, "u BIGINT, v BIGINT"), Scratch(spark, "test")).collect()
     assert {r.node: r.component for r in out} == {x: find(x) for x in root}
+    bounded = connected(spark.createDataFrame(edges, "u BIGINT, v BIGINT"), Scratch(spark, "test"), most_edges=len(edges)).collect()
+    assert sorted(bounded) == sorted(out)
     assert connected(spark.createDataFrame([], "u BIGINT, v BIGINT"), Scratch(spark, "test")).count() == 0
